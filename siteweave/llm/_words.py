@@ -52,13 +52,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-_powers = np.ones(64, dtype=U64)
+_powers = np.zeros(0, dtype=U64)
 
 
 def _power_table(n: int) -> np.ndarray:
     global _powers
     if len(_powers) < n:
-        table = np.full(1 << (n - 1).bit_length(), _BASE, dtype=U64)
+        table = np.full(max(64, 1 << (n - 1).bit_length()), _BASE, dtype=U64)
         table[0] = 1
         _powers = np.multiply.accumulate(table)
     return _powers
