@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .near_dedup import near_duplicates
+from .quality import quality
 
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -12,5 +13,9 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(docs, shingle=3, percent=85)
 
 
-QUERIES = {"op1_minhash_dedup": op1_minhash_dedup}
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+QUERIES = {"op1_minhash_dedup": op1_minhash_dedup, "op2_quality_rules": op2_quality_rules}
 ORACLES: dict[str, str] = {}
