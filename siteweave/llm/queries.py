@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .near_dedup import near_duplicates
+from .packing import pack
 from .quality import quality
+from .toxicity import toxicity
 
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,5 +19,18 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-QUERIES = {"op1_minhash_dedup": op1_minhash_dedup, "op2_quality_rules": op2_quality_rules}
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+QUERIES = {
+    "op1_minhash_dedup": op1_minhash_dedup,
+    "op2_quality_rules": op2_quality_rules,
+    "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_toxicity": op6_toxicity,
+}
 ORACLES: dict[str, str] = {}
