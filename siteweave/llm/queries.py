@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import licenses
+from .html_text import extract
 from .near_dedup import near_duplicates
 from .packing import pack
 from .quality import quality
@@ -34,6 +35,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("blocks")
 
@@ -44,6 +49,7 @@ QUERIES = {
     "op3_url_filters": op3_url_filters,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_toxicity": op6_toxicity,
+    "op7_html_extraction": op7_html_extraction,
     "op9_license_scans": op9_license_scans,
 }
 ORACLES: dict[str, str] = {"op9_license_scans": licenses.oracle()}
