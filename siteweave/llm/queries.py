@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import licenses
+from .decontaminate import leaks
 from .html_text import extract
 from .near_dedup import near_duplicates
 from .packing import pack
@@ -27,6 +28,10 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(pages, labels_by_document(pages, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -47,6 +52,7 @@ QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_quality_rules": op2_quality_rules,
     "op3_url_filters": op3_url_filters,
+    "op4_decontamination": op4_decontamination,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_toxicity": op6_toxicity,
     "op7_html_extraction": op7_html_extraction,
