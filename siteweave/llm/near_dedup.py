@@ -291,3 +291,21 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         .select("doc_id", "n_shingles", component.alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
+
+
+def deduplicated(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """One row of each group of near copies, all columns as they were.
+
+    The document of the smallest doc_id stays.  Of rows that repeat a doc_id
+    one stays.  Rows without doc_id cannot be told apart and stay.
+    """
+    found = near_duplicates(docs, shingle, percent).where("doc_id is not null")
+    ids = written(found.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")).where("not kept or n > 1"))
+    gone = ids.where("not kept").select(F.col("doc_id").alias("_sw_id"))
+    same = docs["doc_id"].cast("long") == F.col("_sw_id")
+    rest = docs.join(gone, same, "left_anti")
+    twice = ids.where("kept").select(F.col("doc_id").alias("_sw_id"))
+    if twice.isEmpty():
+        return rest
+    repeated = rest.join(twice, same, "left_semi").dropDuplicates(["doc_id"])
+    return rest.join(twice, same, "left_anti").unionByName(repeated)

@@ -151,8 +151,8 @@ def _rows(values: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(0, len(values) * width + 1, width), pa.int32()), pa.array(values.ravel().astype(np.int64)))
 
 
-def measured(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Key, language and measures of each row, by one pass over whole texts."""
+def measured(docs: DataFrame, key: str | None = "doc_id") -> DataFrame:
+    """Key (0 without one), language and measures of each row, by one pass over whole texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,13 +162,18 @@ def measured(docs: DataFrame, key: str = "doc_id") -> DataFrame:
                 ["doc_id", "lang", *COUNTS, "chars", "common"],
             )
 
-    lang = F.coalesce(F.col("lang").cast("string"), F.lit("")) if "lang" in docs.columns else F.lit("")
-    return docs.select(F.col(key).alias("doc_id"), lang.alias("lang"), F.col("text").cast("string").alias("text")).mapInArrow(
+    kind = docs.schema[key].dataType.simpleString() if key else "int"
+    own = F.col(key) if key else F.lit(0)
+    return docs.select(own.alias("doc_id"), _lang(docs).alias("lang"), F.col("text").cast("string").alias("text")).mapInArrow(
         run,
-        f"doc_id {docs.schema[key].dataType.simpleString()}, lang string, {', '.join(f'{k} long' for k in COUNTS)}, chars array<long>, common array<long>",
+        f"doc_id {kind}, lang string, {', '.join(f'{k} long' for k in COUNTS)}, chars array<long>, common array<long>",
     )
 
 
+def _lang(docs: DataFrame) -> object:
+    return F.coalesce(docs["lang"].cast("string"), F.lit("")) if "lang" in docs.columns else F.lit("")
+
+
 def _shares(values, whole) -> object:
     """A histogram as shares of ``whole``, the rest as one more bin."""
     rest = whole - F.aggregate(values, F.lit(0).cast("long"), lambda a, x: a + x)
@@ -200,6 +205,30 @@ def references(measures_: DataFrame) -> DataFrame:
     return vectors.select("lang", F.slice("ref", 1, n).alias("char_ref"), F.slice("ref", n + 1, len(VOCABULARY) + 1).alias("word_ref"))
 
 
+def _measure_columns(n_words, n_repeat_words, chars, common) -> dict[str, object]:
+    n_chars = F.aggregate(chars, F.lit(0).cast("long"), lambda a, x: a + x)
+    return {
+        "base_failed": (n_words < MIN_WORDS) | (100 * n_repeat_words > MAX_REPEATED * n_words),
+        "char_shares": _shares(chars, n_chars),
+        "word_shares": _shares(common, n_words),
+    }
+
+
+def _distances(char_shares, char_ref, word_shares, word_ref) -> tuple:
+    return F.round(_distance(char_shares, char_ref), 9), F.round(_distance(word_shares, word_ref), 9)
+
+
+def _passes(base_failed, chars_off, words_off) -> object:
+    off = (chars_off > FAR_CHAR_DISTANCE) | ((chars_off > OFF_CHAR_DISTANCE) & (words_off > OFF_WORD_DISTANCE))
+    return ~base_failed & ~F.coalesce(off, F.lit(False))
+
+
+def _rows_of(docs: DataFrame, key: str | None) -> DataFrame:
+    m = measured(docs, key)
+    own = _measure_columns(F.col("n_words"), F.col("n_repeat_words"), F.col("chars"), F.col("common"))
+    return m.select("doc_id", "lang", *COUNTS, *[c.alias(k) for k, c in own.items()])
+
+
 def quality(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """Counts, guards, distances and verdict for each row of ``docs``.
 
@@ -212,25 +241,39 @@ def quality(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     row of a language passes the guards there is no reference and none is
     needed.  Repeated rows are judged alike.  An empty table gives no rows.
     """
-    base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
-    n_chars = F.aggregate("chars", F.lit(0).cast("long"), lambda a, x: a + x)
-    rows = written(
-        measured(docs, key).select(
-            "doc_id",
-            "lang",
-            *COUNTS,
-            base.alias("base_failed"),
-            _shares(F.col("chars"), n_chars).alias("char_shares"),
-            _shares(F.col("common"), F.col("n_words")).alias("word_shares"),
-        )
-    )
-    off = (F.col("char_distance") > FAR_CHAR_DISTANCE) | (
-        (F.col("char_distance") > OFF_CHAR_DISTANCE) & (F.col("word_distance") > OFF_WORD_DISTANCE)
-    )
+    rows = written(_rows_of(docs, key))
+    chars, words = _distances(F.col("char_shares"), F.col("char_ref"), F.col("word_shares"), F.col("word_ref"))
     return (
         rows.join(written(references(rows)), "lang", "left")
-        .withColumn("char_distance", F.round(_distance(F.col("char_shares"), F.col("char_ref")), 9))
-        .withColumn("word_distance", F.round(_distance(F.col("word_shares"), F.col("word_ref")), 9))
-        .withColumn("kept", ~F.col("base_failed") & ~F.coalesce(off, F.lit(False)))
+        .withColumn("char_distance", chars)
+        .withColumn("word_distance", words)
+        .withColumn("kept", _passes(F.col("base_failed"), F.col("char_distance"), F.col("word_distance")))
         .select("doc_id", *COUNTS, "base_failed", "kept", "char_distance", "word_distance")
     )
+
+
+def _measure_udf():
+    @F.arrow_udf("struct<n_words: long, n_repeat_words: long, chars: array<long>, common: array<long>>")
+    def measure(texts: pa.Array) -> pa.Array:
+        m = measures(texts)
+        return pa.StructArray.from_arrays(
+            [pa.array(m["n_words"]), pa.array(m["n_repeat_words"]), _rows(m["chars"]), _rows(m["common"])],
+            ["n_words", "n_repeat_words", "chars", "common"],
+        )
+
+    return measure
+
+
+def passing(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``quality`` keeps, all columns as they were.
+
+    Rows are judged where they stand; only the references, a row for each
+    language, are joined to them.  Spark broadcasts these below its size
+    threshold and else joins by language.
+    """
+    refs = written(references(written(_rows_of(docs, None).drop("doc_id", *COUNTS)))).toDF("_sw_lang", "_sw_chars", "_sw_words")
+    m = docs.withColumn("_sw_m", _measure_udf()(F.coalesce(docs["text"].cast("string"), F.lit(""))))
+    own = _measure_columns(*[F.col(f"_sw_m.{k}") for k in ("n_words", "n_repeat_words", "chars", "common")])
+    joined = m.join(refs, _lang(docs) == F.col("_sw_lang"), "left")
+    chars, words = _distances(own["char_shares"], F.col("_sw_chars"), own["word_shares"], F.col("_sw_words"))
+    return joined.where(_passes(own["base_failed"], chars, words)).drop("_sw_m", "_sw_lang", "_sw_chars", "_sw_words")

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import licenses
+from .chat import format_chats
 from .decontaminate import leaks
 from .html_text import extract
 from .near_dedup import near_duplicates
 from .packing import pack
 from .quality import quality
+from .token_counts import edited_counts
 from .toxicity import toxicity
 from .url_filter import filter_urls, labels_by_document
 
@@ -44,10 +46,18 @@ def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("blocks")
 
 
+def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_chats(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_quality_rules": op2_quality_rules,
@@ -56,6 +66,8 @@ QUERIES = {
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_toxicity": op6_toxicity,
     "op7_html_extraction": op7_html_extraction,
+    "op8_token_counts": op8_token_counts,
     "op9_license_scans": op9_license_scans,
+    "op10_chat_formatting": op10_chat_formatting,
 }
 ORACLES: dict[str, str] = {"op9_license_scans": licenses.oracle()}

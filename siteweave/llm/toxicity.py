@@ -258,6 +258,20 @@ def toxicity(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) ->
     )
 
 
+def _score_udf(shared):
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        return pa.array(scores(texts, shared.value))
+
+    return score
+
+
+def acceptable(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, limit: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that score below ``limit``, all columns as they were; nothing is shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, max_train).astype(np.float32))
+    return docs.where(_score_udf(shared)(F.coalesce(docs["text"].cast("string"), F.lit(""))) < limit)
+
+
 def held_out(doc_id: int) -> bool:
     """Whether the id is in the fold that is never learnt from."""
     return zlib.crc32(str(doc_id).encode()) % FOLDS == 0
