@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DIR_KEY = "spark.checkpoint.dir"
+BATCH_KEY, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,6 +37,16 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Hand Python at most BATCH_ROWS documents at once, unless the session asks for fewer.
+
+    A batch is held by the JVM, by the worker and in the worker's results, so
+    its size bounds an executor's memory beside the heap.
+    """
+    if int(spark.conf.get(BATCH_KEY, "10000")) not in range(1, BATCH_ROWS + 1):
+        spark.conf.set(BATCH_KEY, str(BATCH_ROWS))
+
+
 def _state(edges: DataFrame) -> tuple:
     row = edges.agg(
         F.count(F.lit(1)).alias("n"),

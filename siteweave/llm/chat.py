@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import written
+from ._spark import small_batches, written
 
 #: JSON schemas of the tools' arguments; a caller's own replace them.
 SCHEMAS: dict[str, dict] = {
@@ -237,6 +237,7 @@ def _parsed(conversations: DataFrame, schemas: dict) -> DataFrame:
                 ["conv_id", "turn", "role", "calls", "answers", "message"],
             )
 
+    small_batches(conversations.sparkSession)
     rows = conversations.select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string"), F.col("text").cast("string")
     )

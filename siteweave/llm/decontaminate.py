@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._spark import small_batches
 from ._words import U64, Words, chunks, shingle_hashes, text_buffer
 
 SEED_WORDS = 5
@@ -175,6 +176,7 @@ def found_in(words: np.ndarray, index: Index, percent: int = PERCENT) -> list[tu
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[Index]:
+    small_batches(benchmark.sparkSession)
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where(
         "item_id is not null and text is not null"
     )

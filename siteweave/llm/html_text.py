@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._spark import written
+from ._spark import small_batches, written
 
 #: Share of the running text that a child must hold to be the better container.
 MOST = 0.7
@@ -240,6 +240,7 @@ def extract(pages: DataFrame) -> DataFrame:
     Spark broadcasts the winners if their table is below its size threshold
     and else joins by host.
     """
+    small_batches(pages.sparkSession)
     rows = pages.select("page_id", "url", F.col("html").cast("string").alias("html"))
     joined = rows.withColumn("host", _host(F.col("url"))).join(written(winners(pages)), "host", "left").select("page_id", "url", "html", "paths")
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import components, written
+from ._spark import components, small_batches, written
 from ._words import U64, Words, chunks, constants, shingle_hashes, text_buffer
 
 BANDS, ROWS = 32, 5
@@ -258,6 +258,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     shingles, sets are equal if their 128-bit digests are.  A pair at the
     threshold escapes all bands with a chance below (1 - 0.8**5)**32 = 3e-6.
     """
+    small_batches(docs.sparkSession)
     signed = written(_signatures(docs, shingle))
     some = signed.where("digest is not null and doc_id is not null")
     nodes = written(

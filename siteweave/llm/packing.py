@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._spark import written
+from ._spark import small_batches, written
 from .tokens import JSON_FILE, RANKS_FILE, encode
 
 MAX_LENGTH = 2048
@@ -148,6 +148,7 @@ def pack(
     An empty table gives no rows.  Columns other than doc_id and text are
     ignored, whatever their names.
     """
+    small_batches(docs.sparkSession)
     table = written(pieces(docs, max_length, json_file, ranks_file, with_ids))
     light = table.drop("ids")
     counts = {r["length"]: r["n"] for r in light.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most max_length rows

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import written
+from ._spark import small_batches, written
 from ._words import Words, chunks, shingle_hashes, text_buffer
 
 #: Common words by language, fixed values.
@@ -224,6 +224,7 @@ def _passes(base_failed, chars_off, words_off) -> object:
 
 
 def _rows_of(docs: DataFrame, key: str | None) -> DataFrame:
+    small_batches(docs.sparkSession)
     m = measured(docs, key)
     own = _measure_columns(F.col("n_words"), F.col("n_repeat_words"), F.col("chars"), F.col("common"))
     return m.select("doc_id", "lang", *COUNTS, *[c.alias(k) for k, c in own.items()])

@@ -21,6 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._spark import small_batches
 from .tokens import JSON_FILE, RANKS_FILE, encode
 
 #: Characters after which a run ends at the next place where it may.
@@ -148,6 +149,7 @@ def with_trees(docs: DataFrame, json_file: str = JSON_FILE, ranks_file: str | No
                     ["doc_id", "text", "n_tokens", "run_chars", "run_tokens"],
                 )
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     return rows.mapInArrow(run, f"doc_id long, text string, {_TREE}")
 

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._spark import small_batches
 from ._words import U64, Words, chunks, mix, text_buffer
 
 #: Labelled rows that a fit may read at most, drawn by hash of the id.
@@ -104,9 +105,9 @@ class _Sparse:
     """Rows of features; products with a weight vector."""
 
     def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]]):
-        self.ids = np.concatenate([r[0] for r in rows]) if rows else np.zeros(0, np.int64)
-        self.values = np.concatenate([r[1] for r in rows]).astype(np.float64) if rows else np.zeros(0)
-        self.owner = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
+        self.ids = np.concatenate([r[0] for r in rows]).astype(np.int32) if rows else np.zeros(0, np.int32)
+        self.values = np.concatenate([r[1] for r in rows]).astype(np.float32) if rows else np.zeros(0, np.float32)
+        self.owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[0]) for r in rows])
         self.n = len(rows)
 
     def dot(self, w: np.ndarray) -> np.ndarray:
@@ -120,7 +121,15 @@ def fit(texts: list[str | None], labels: np.ndarray) -> np.ndarray:
     """Weights of the features, then the intercept.  Equal rows give equal weights."""
     size = 1 << BITS
     own = [s or "" for s in texts]
-    rows = list(_bags(pa.array(own, pa.large_string())))
+    found = np.zeros(size, np.int32)
+    rows = []
+    for row in _bags(pa.array(own, pa.large_string())):
+        found[row[0]] += 1
+        rows.append(row)
+    # features of few rows cannot be learnt from and are most of all: they go before anything is built
+    for i, (ids, values) in enumerate(rows):
+        keep = found[ids] >= LEAST_ROWS
+        rows[i] = (ids[keep], values[keep])
     swaps = [p for s in own for p in _swaps(s)] + [(a, b) for g in IDENTITY_TERMS for i, a in enumerate(g) for b in g[i + 1 :]]
     left = list(_bags(pa.array([a for a, _ in swaps], pa.large_string())))
     right = list(_bags(pa.array([b for _, b in swaps], pa.large_string())))
@@ -200,6 +209,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> np.
     most max_train of them) and one executor task fits; the driver gets the
     weights alone.  Rows with a null id, label or text have nothing to learn.
     """
+    small_batches(docs.sparkSession)
     sample = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
         .where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1))
