@@ -34,11 +34,13 @@ CLASSES = ["lower", "upper", "digit", "space", "newline", "sentence", "quote", "
 MIN_WORDS = 50
 #: Largest part of words, in percent, inside repeated windows of three words.
 MAX_REPEATED = 50
+#: Distance to the first mean within which a text counts for the reference.
+NEAR_DISTANCE = 0.24
 #: Jensen-Shannon distances to the language's references.  A text goes if its
 #: characters alone are far off, or both its characters and words are off.
 FAR_CHAR_DISTANCE = 0.26
-OFF_CHAR_DISTANCE = 0.12
-OFF_WORD_DISTANCE = 0.28
+OFF_CHAR_DISTANCE = 0.15
+OFF_WORD_DISTANCE = 0.25
 
 
 def _class_table() -> np.ndarray:
@@ -187,16 +189,27 @@ def _distance(p, q) -> object:
     return F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda a, x: a + x), F.lit(0.0)))
 
 
-def references(measures_: DataFrame) -> DataFrame:
-    """Mean histograms by language, of all rows that pass the guards.
+def references(rows: DataFrame) -> DataFrame:
+    """Mean histograms by language: of all rows that pass the guards, then of those near these means.
+
+    The second round keeps the references those of the language's prose,
+    however much of the corpus is something else, as long as it is less.
+    """
+    guarded = rows.where(~F.col("base_failed")).select("lang", "char_shares", "word_shares")
+    first = written(_means(guarded)).select("lang", "char_ref")
+    near = guarded.join(first, "lang").where(_distance(F.col("char_shares"), F.col("char_ref")) <= NEAR_DISTANCE)
+    found = written(_means(near.drop("char_ref")))
+    # a language of which no row is near its mean keeps that mean
+    return found.unionByName(_means(guarded.join(found, "lang", "left_anti")))
+
+
+def _means(rows: DataFrame) -> DataFrame:
+    """Mean histograms by language of rows with lang, char_shares and word_shares.
 
     A row for each language and bin meets its group as a sum and a count, so a
     language that holds most rows is summed before it is shuffled.
     """
-    long = measures_.where(~F.col("base_failed")).select(
-        "lang",
-        F.posexplode(F.concat("char_shares", "word_shares")).alias("bin", "share"),
-    )
+    long = rows.select("lang", F.posexplode(F.concat("char_shares", "word_shares")).alias("bin", "share"))
     # sums of rounded shares are exact, so the references don't depend on row order
     means = long.groupBy("lang", "bin").agg((F.sum(F.round(F.col("share") * 1e9).cast("long")) / F.count(F.lit(1)) / 1e9).alias("share"))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("bin", "share"))), lambda x: x["share"])
