@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import html, urls
-from ..operators import crawl, discovery, links, report, scoring, sitemaps, store
+from ..operators import crawl, discovery, events, links, report, scoring, sitemaps, store
 from ..sources.fixtures import duck, fixture
 from ..sources.scratch import shared_dir
 from ..streaming import jobs
@@ -386,3 +386,62 @@ def stream_info_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
     jobs.run_once(jobs.info_gain_stops(stream), lambda batch, n: batch.write.mode("overwrite").parquet(f"{place}/{n}"))
     return spark.read.option("recursiveFileLookup", "true").schema(jobs.GAIN_OUT).parquet(place)
 
+
+
+# events and choices -------------------------------------------------------------
+
+
+@query("""SELECT page_id AS page, tier::INT AS tier, min(pos)::INT AS seq FROM (SELECT page_id, pos, text, CASE WHEN regexp_matches(lower(text), 'accept|consent') THEN 0 ELSE 1 END AS tier FROM (
+  SELECT page_id, unnest(range(5)) AS pos, unnest(['Read more', 'Accept all cookies', 'OK', 'ok, privacy', 'Accept']) AS text FROM pages WHERE page_id % 2 = 0)) WHERE tier = 1 AND regexp_matches(lower(text), 'cookie|consent|privacy') GROUP BY ALL
+  UNION ALL SELECT page_id, 2, 1 FROM pages WHERE page_id % 2 = 1""")
+def cookie_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").alias("page"))
+    texts = ["Read more", "Accept all cookies", "OK", "ok, privacy", "Accept"]
+    even = pages.where("page % 2 = 0").select("page", F.posexplode(F.array(*map(F.lit, texts))).alias("seq", "text"))
+    # what only accepts is not clickable here, so a text that speaks of privacy is left
+    even = even.select("page", F.lit(1).alias("tier"), "seq", "text", F.lit(None).cast("string").alias("aria_label"), (~F.lower("text").rlike("accept|consent")).alias("clickable"))
+    odd = pages.where("page % 2 = 1").select(
+        "page", F.lit(2).alias("tier"), F.posexplode(F.array(F.lit("menu"), F.lit("Accept cookies"))).alias("seq", "aria_label"), F.lit("").alias("text"), F.lit(True).alias("clickable")
+    )
+    return events.cookie_choice(even.unionByName(odd))
+
+
+@query(f"""SELECT url AS seed, CASE WHEN page_id % 3 = 0 THEN base || '/explore' WHEN page_id % 3 = 1 THEN base || '/features' END AS url, CASE page_id % 3 WHEN 0 THEN 'public' WHEN 1 THEN 'partial' ELSE 'none' END AS kind
+  FROM (SELECT page_id, url, {q.scheme('url')} || '://' || {q.authority('url')} AS base FROM pages)""")
+def public_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    tries = events.fallback_candidates(pages).join(pages.withColumnRenamed("url", "seed"), "seed")
+    wall = F.lit("<form action='/login'><input type='password'> please sign in </form>")
+    text = (
+        F.when(F.col("page_id") % 3 == 2, "short")
+        .when((F.col("page_id") % 3 == 1) & (F.col("pos") < 3), wall)
+        .when((F.col("page_id") % 3 == 0) & (F.col("pos") == 0), wall)
+        .when(F.col("page_id") % 3 == 0, "<main>a public page with enough text to be worth a look</main>")
+    )
+    return events.public_fallback(tries.select("seed", "pos", "url", text.alias("html")))
+
+
+@query(f"""SELECT site, count(*)::BIGINT AS requests, count(*) FILTER (page_id % 7 = 0)::BIGINT AS failed, count(*) FILTER (page_id % 14 = 0)::BIGINT AS blocked,
+  coalesce(sum(strlen(html)) FILTER (page_id % 7 <> 0), 0)::BIGINT AS bytes, count(DISTINCT {q.template_signal('url')})::BIGINT AS templates FROM (SELECT *, lower(regexp_extract(url, '://([^/?#]*)', 1)) AS site FROM pages) GROUP BY site""")
+def bfs_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    i = F.col("page_id")
+    rows = pages.select("url", F.when(i % 14 == 0, 503).when(i % 7 == 0, 404).otherwise(200).alias("status"), "html")
+    return events.bfs_baseline(fixture(spark, sf_dir, "page_urls"), rows)
+
+
+@query("""SELECT page_id, CASE WHEN html LIKE '%|%' THEN NULL ELSE left(regexp_extract(html, '<h1>([^<]*)</h1>', 1), 12) END AS result FROM pages""")
+def post_process(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A caller's function over pages; it fails on pages with a bar, whose result is null."""
+
+    def title(text: str) -> str:
+        if "|" in text:
+            raise ValueError("bar")
+        return text.split("<h1>")[1].split("<")[0][:12]
+
+    return events.with_post_process(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html"), title).select("page_id", "result")
+
+
+@query()
+def crawl_event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.crawl_events(*crawl.crawl(*_crawl_inputs(spark, sf_dir), crawl.CrawlConfig(max_pages=5)))
