@@ -62,9 +62,18 @@ def page_class(url: Column, text: Column, in_nav: Column, in_header_footer: Colu
     )
 
 
-def judged_links(links: DataFrame, seed_host: Column, next_depth: Column, sampling: bool = True) -> DataFrame:
-    """Links with fetch_url, dedup_key, class and the reason they are skipped, if any."""
-    rows = cleaned(links).withColumn("fetch_url", urls.resolve(F.col("url"), F.col("href")))
+def resolved_links(links: DataFrame) -> DataFrame:
+    """Cleaned links with fetch_url, the absolute address of href on the page url."""
+    return cleaned(links).withColumn("fetch_url", urls.resolve(F.col("url"), F.col("href")))
+
+
+def judged_links(links: DataFrame, seed_host: Column, next_depth: Column, sampling: bool = True, resolved: bool = False) -> DataFrame:
+    """Links with fetch_url, dedup_key, class and the reason they are skipped, if any.
+
+    ``resolved`` says that ``links`` are from ``resolved_links`` already; a
+    caller in a loop writes those first, which keeps its plans small.
+    """
+    rows = links if resolved else resolved_links(links)
     rows = rows.withColumn("dedup_key", urls.dedup_key(F.col("fetch_url")))
     rows = rows.withColumn("class", page_class(F.col("fetch_url"), F.col("text"), F.col("in_nav"), F.col("in_header_footer")))
     reason = F.coalesce(
