@@ -17,14 +17,21 @@ def last_events(events: DataFrame, n: int = WINDOW) -> DataFrame:
     return events.orderBy(F.desc("ts"), F.desc("event_id")).limit(max(10, n))
 
 
+def _rate(condition: Column) -> Column:
+    return F.round(F.coalesce(F.avg(F.when(condition, 1.0).otherwise(0.0)), F.lit(0.0)), 6)
+
+
+def _rates() -> list[Column]:
+    return [
+        _rate(F.col("timeout")).alias("timeout_rate"),
+        _rate(F.col("degraded_mode")).alias("degraded_rate"),
+        F.round(F.coalesce(F.avg(F.coalesce("fallback_rate", F.lit(0.0))), F.lit(0.0)), 6).alias("enrichment_fallback_rate"),
+    ]
+
+
 def alert_snapshot(events: DataFrame, n: int = WINDOW) -> DataFrame:
     """Rates over the last n events; zeros where there is none."""
-    rate = lambda c: F.coalesce(F.avg(F.when(c, 1.0).otherwise(0.0)), F.lit(0.0))
-    return last_events(events, n).agg(
-        F.round(rate(F.col("timeout")), 6).alias("timeout_rate"),
-        F.round(rate(F.col("degraded_mode")), 6).alias("degraded_rate"),
-        F.round(F.coalesce(F.avg(F.coalesce("fallback_rate", F.lit(0.0))), F.lit(0.0)), 6).alias("enrichment_fallback_rate"),
-    )
+    return last_events(events, n).agg(*_rates())
 
 
 def hit_rate(counters: Column, prefix: str) -> Column:
@@ -49,9 +56,7 @@ def metrics(events: DataFrame, n: int = WINDOW) -> DataFrame:
     modes = events.sparkSession.createDataFrame([(m,) for m in MODES], "mode string")
     full = modes.join(by_mode, "mode", "left").select(F.col("mode").alias("label"), *[F.coalesce(c, F.lit(0.0)).alias(c) for c in names])
     rows = full.unpivot("label", names, "metric", "value")
-    rates = alert_snapshot(events, n).crossJoin(
-        last.agg(F.coalesce(F.avg(F.when(F.lower("enrichment_status") == "complete", 1.0).otherwise(0.0)), F.lit(0.0)).alias("enrichment_completion_rate"))
-    )
+    rates = last.agg(*_rates(), _rate(F.lower("enrichment_status") == "complete").alias("enrichment_completion_rate"))
     flat = rates.select(F.lit("").alias("label"), "*").unpivot("label", rates.columns, "metric", "value")
     return rows.unionByName(flat).select("metric", "label", F.round("value", 6).alias("value"))
 
