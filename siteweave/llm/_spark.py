@@ -1,50 +1,26 @@
-"""Spark helpers of the text operators: lineage cuts and connected components."""
+"""Spark helpers of the text operators: batch sizes and connected components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-DIR_KEY = "spark.checkpoint.dir"
-BATCH_KEY, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that all executors share.
-
-    The cluster's own setting is used as it is.  Where it is unset, as in
-    tests on one machine, a temporary folder is made and set.
-    """
-    found = spark.conf.get(DIR_KEY, None) or spark.sparkContext.getConf().get(DIR_KEY)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='siteweave-')}"
-        spark.conf.set(DIR_KEY, found)
-    return found.rstrip("/")
-
-
-def written(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
+from ..sources.scratch import written
 
-    Cuts the lineage at a table that survives the loss of any executor, and
-    keeps column pruning, which a checkpointed RDD would lose.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/siteweave/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+BATCH_KEY, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+BYTES_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Hand Python at most BATCH_ROWS documents at once, unless the session asks for fewer.
+    """Hand Python at most BATCH_ROWS rows and BATCH_BYTES at once, unless the session asks for fewer.
 
     A batch is held by the JVM, by the worker and in the worker's results, so
-    its size bounds an executor's memory beside the heap.
+    its size bounds an executor's memory beside the heap, however long the
+    texts of a group are.  A single longer row is a batch of its own.
     """
     if int(spark.conf.get(BATCH_KEY, "10000")) not in range(1, BATCH_ROWS + 1):
         spark.conf.set(BATCH_KEY, str(BATCH_ROWS))
+    spark.conf.set(BYTES_KEY, str(BATCH_BYTES))
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -71,12 +47,13 @@ def components(edges: DataFrame) -> DataFrame:
     before = _state(edges)
     while before[0]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = (
+        # the minima are written, so that both sides of the joins are plain exchanges and a hub's rows can be split
+        least = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
+        large = written(
             both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         )
         # every b > a now hangs on the smallest neighbour; then each node's smaller neighbours do
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        low = written(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(low, "a").select(
             F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")
         )

@@ -270,7 +270,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         "node",
         F.explode(F.array(*[F.xxhash64(F.lit(i), F.substring("sketch", i * width + 1, width)) for i in range(BANDS)])).alias("bucket"),
     )
-    hubs = bands.groupBy("bucket").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("bucket", "a")
+    # written, so that the join below reads both sides through plain exchanges and a hot bucket can be split
+    hubs = written(bands.groupBy("bucket").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("bucket", "a"))
     stars = written(bands.join(hubs, "bucket").where("node <> a").select("a", F.col("node").alias("b")).distinct())
     groups = written(components(stars).withColumnRenamed("component", "grp"))
     met = groups.select("node")
