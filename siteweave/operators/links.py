@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import html, rules, urls
+from ..sources.scratch import written
 
 
 def page_links(pages: DataFrame, exact: bool = False) -> DataFrame:
@@ -70,10 +71,11 @@ def resolved_links(links: DataFrame) -> DataFrame:
 def judged_links(links: DataFrame, seed_host: Column, next_depth: Column, sampling: bool = True, resolved: bool = False) -> DataFrame:
     """Links with fetch_url, dedup_key, class and the reason they are skipped, if any.
 
-    ``resolved`` says that ``links`` are from ``resolved_links`` already; a
-    caller in a loop writes those first, which keeps its plans small.
+    Addresses are resolved into a written table before they are judged: every
+    rule reads the address, and in one plan each would resolve it again.
+    ``resolved`` says that ``links`` are such a table already.
     """
-    rows = links if resolved else resolved_links(links)
+    rows = links if resolved else written(resolved_links(links))
     rows = rows.withColumn("dedup_key", urls.dedup_key(F.col("fetch_url")))
     rows = rows.withColumn("class", page_class(F.col("fetch_url"), F.col("text"), F.col("in_nav"), F.col("in_header_footer")))
     reason = F.coalesce(
