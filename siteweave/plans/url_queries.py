@@ -25,22 +25,22 @@ def query(oracle: str | None = None):
 
 
 ALL = duck("all_urls")
-U = F.col("url")
+
 
 
 @query(f"SELECT id, {q.normalize('url')} AS normalized FROM {ALL}")
 def url_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixture(spark, sf_dir, "all_urls").select("id", urls.normalize(U).alias("normalized"))
+    return fixture(spark, sf_dir, "all_urls").select("id", urls.normalize(F.col("url")).alias("normalized"))
 
 
 @query(f"SELECT id, {q.dedup_key('url')} AS dedup_key FROM {ALL}")
 def url_dedup_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixture(spark, sf_dir, "all_urls").select("id", urls.dedup_key(U).alias("dedup_key"))
+    return fixture(spark, sf_dir, "all_urls").select("id", urls.dedup_key(F.col("url")).alias("dedup_key"))
 
 
 @query(f"SELECT id, {q.origin('url')} AS origin, len({q.segments(q.path('url'))})::INT AS depth FROM {ALL}")
 def url_origin_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixture(spark, sf_dir, "all_urls").select("id", urls.origin(U).alias("origin"), urls.depth(U).alias("depth"))
+    return fixture(spark, sf_dir, "all_urls").select("id", urls.origin(F.col("url")).alias("origin"), urls.depth(F.col("url")).alias("depth"))
 
 
 @query(f"""SELECT id, {q.suffix(f"lower({q.path('url')})", rules.BINARY_EXTENSIONS)} AS is_binary, {q.boost('url')} AS boost, {q.critical_type('url')} AS critical_type,
@@ -50,20 +50,20 @@ def url_origin_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
 def url_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixture(spark, sf_dir, "all_urls").select(
         "id",
-        urls.has_binary_extension(U).alias("is_binary"),
-        urls.priority_boost(U).alias("boost"),
-        urls.critical_type(U).alias("critical_type"),
-        urls.is_homepage(U).alias("is_homepage"),
-        urls.is_paginated(U).alias("is_paginated"),
-        urls.template_signal(U).alias("signal"),
-        urls.bench_page_type(U).alias("kind"),
+        urls.has_binary_extension(F.col("url")).alias("is_binary"),
+        urls.priority_boost(F.col("url")).alias("boost"),
+        urls.critical_type(F.col("url")).alias("critical_type"),
+        urls.is_homepage(F.col("url")).alias("is_homepage"),
+        urls.is_paginated(F.col("url")).alias("is_paginated"),
+        urls.template_signal(F.col("url")).alias("signal"),
+        urls.bench_page_type(F.col("url")).alias("kind"),
     )
 
 
 @query(f"SELECT page_id, pos, href, {q.resolve('url', 'href')} AS resolved FROM {duck('literal_links')}")
 def url_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fixture(spark, sf_dir, "literal_links")
-    return rows.select("page_id", F.col("pos").cast("int").alias("pos"), "href", urls.resolve(U, F.col("href")).alias("resolved"))
+    return rows.select("page_id", F.col("pos").cast("int").alias("pos"), "href", urls.resolve(F.col("url"), F.col("href")).alias("resolved"))
 
 
 @query(f"""SELECT page_id, pos, href, {q.prefix('lower(trim(href))', rules.SKIP_HREF_PREFIXES)} OR {q.any_of(f"lower({q.path('href')})", rules.SKIP_PATH_FRAGMENTS)} AS skipped
@@ -100,7 +100,7 @@ def _all_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _judged(spark: SparkSession, sf_dir: str, depth: int) -> DataFrame:
-    return links.judged_links(_all_links(spark, sf_dir), urls.host(U), F.lit(depth))
+    return links.judged_links(_all_links(spark, sf_dir), urls.host(F.col("url")), F.lit(depth))
 
 
 def _judged_sql(depth: int) -> str:
@@ -137,7 +137,7 @@ def skip_reason_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT dedup_key, min(id)::BIGINT AS first_id, count(*)::BIGINT AS seen FROM (SELECT id, {q.dedup_key('url')} AS dedup_key FROM {ALL}) GROUP BY dedup_key")
 def dedup_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fixture(spark, sf_dir, "all_urls").select("id", urls.dedup_key(U).alias("dedup_key"))
+    rows = fixture(spark, sf_dir, "all_urls").select("id", urls.dedup_key(F.col("url")).alias("dedup_key"))
     return rows.groupBy("dedup_key").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("seen"))
 
 
@@ -179,8 +179,8 @@ def _named(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_CAPPED} SELECT site, place::INT AS place, segment, round(share, 6) AS share FROM st")
 def structural_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = topology.capped(topology.first_seen(_sites(spark, sf_dir))).where(~urls.is_paginated(U))
-    found = topology.structural_segments(rows.withColumn("path", urls.path(U)))
+    rows = topology.capped(topology.first_seen(_sites(spark, sf_dir))).where(~urls.is_paginated(F.col("url")))
+    found = topology.structural_segments(rows.withColumn("path", urls.path(F.col("url"))))
     return found.withColumn("share", F.round("share", 6))
 
 
@@ -229,4 +229,4 @@ def page_content(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT page_id, CASE WHEN regexp_matches(lower(html), 'id\\s*=\\s*["'']?__next["''\\s>]') THEN 'next' WHEN contains(lower(html), '<app-root') THEN 'angular' END AS framework,
   CASE WHEN regexp_matches(lower(url), '/login|/signin|/auth|/oauth|/sso|/accounts') THEN 'url_login_redirect' WHEN regexp_matches(lower(html), '<input\\b[^>]*type\\s*=\\s*["'']?password') THEN 'password_field_present' ELSE 'none' END AS login FROM pages""")
 def page_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pages(spark, sf_dir).select("page_id", html.spa_framework(F.col("html")).alias("framework"), html.login_wall(F.col("html"), U).alias("login"))
+    return _pages(spark, sf_dir).select("page_id", html.spa_framework(F.col("html")).alias("framework"), html.login_wall(F.col("html"), F.col("url")).alias("login"))
