@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses
+from . import licenses, url_filter
 from .chat import format_chats
 from .decontaminate import leaks
 from .html_text import extract
@@ -70,4 +70,4 @@ QUERIES = {
     "op9_license_scans": op9_license_scans,
     "op10_chat_formatting": op10_chat_formatting,
 }
-ORACLES: dict[str, str] = {"op9_license_scans": licenses.oracle()}
+ORACLES: dict[str, str] = {"op3_url_filters": url_filter.oracle(), "op9_license_scans": licenses.oracle()}

@@ -167,3 +167,41 @@ def labels_by_document(pages: DataFrame, labels: DataFrame) -> DataFrame:
     bad = F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0)
     known = labels.select(F.col("doc_id").cast("long").alias("n_doc"), bad.alias("bad"))
     return ends.join(known, "n_doc").select("page_id", "bad")
+
+
+def oracle() -> str:
+    """DuckDB SQL for the filter over pages with labels by document."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    levels = "".join(
+        f"""
+c{k} AS (SELECT host, prefix, shape[{k}] AS segment, sum(n) AS pages FROM p{k - 1} WHERE len(shape) >= {k} GROUP BY ALL),
+m{k} AS (SELECT host, prefix, segment FROM c{k} JOIN (SELECT host, prefix, count(*) AS branches, sum(pages) AS whole FROM c{k} GROUP BY ALL) USING (host, prefix)
+  WHERE branches < {MANY} OR 100 * pages >= {LEAST_PERCENT} * whole),
+p{k} AS (SELECT p.host, shape, n, CASE WHEN len(shape) < {k} THEN p.prefix ELSE p.prefix || '/' || coalesce(m.segment, '*') END AS prefix
+  FROM p{k - 1} p LEFT JOIN m{k} m ON m.host = p.host AND m.prefix = p.prefix AND m.segment = shape[{k}]),"""
+        for k in range(1, LEVELS + 1)
+    )
+    fits = []
+    for said, text in sorted(RULES, key=lambda r: (-len(r[1]), r[1])):
+        host, _, path = text.partition("/")
+        fits.append((said, text, f"(host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '/{path}')"))
+    rule = "CASE " + " ".join(f"WHEN {c} THEN '{t}'" for _, t, c in fits) + " END"
+    said = "CASE " + " ".join(f"WHEN {c} THEN '{s}'" for s, _, c in fits) + " END"
+    return f"""
+WITH r AS (SELECT page_id, translate(coalesce(regexp_extract(url, '{_URL}', 1), ''), '{upper}', '{lower}') AS host, coalesce(regexp_extract(url, '{_URL}', 2), '') AS path FROM pages),
+s AS (SELECT *, list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda y: CASE WHEN regexp_matches(y, '{VARIABLE}') THEN '*' ELSE y END) AS shape FROM r),
+lab AS (SELECT page_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM s JOIN labels ON doc_id = try_cast(regexp_extract(path, '/([0-9]{{1,18}})(?:\\.[a-z]+)?/?$', 1) AS BIGINT) GROUP BY page_id),
+t0 AS (SELECT host, shape, count(*) AS n, count(bad) AS nl, coalesce(sum(bad), 0) AS nb FROM s LEFT JOIN lab USING (page_id) GROUP BY host, shape),
+p0 AS (SELECT host, shape, n, '' AS prefix FROM t0),{levels}
+tpl AS (SELECT host, shape, prefix || CASE WHEN len(shape) > {LEVELS} THEN '/**' ELSE '' END AS template FROM p{LEVELS}),
+tt AS (SELECT host, template, regexp_replace(template, '/[^/*]+', '/x', 'g') AS form, sum(nl) AS nl, sum(nb) AS nb FROM t0 JOIN tpl USING (host, shape) GROUP BY ALL),
+pr AS (SELECT coalesce(sum(nb) / nullif(sum(nl), 0), 0) AS prior FROM tt),
+hs AS (SELECT host, sum(nl) AS hn, sum(nb) AS hb FROM tt GROUP BY host),
+ps AS (SELECT host, form, sum(nl) AS pn, sum(nb) AS pb FROM tt GROUP BY ALL),
+br AS (SELECT tt.*, CASE WHEN coalesce(abs(nb / nullif(nl, 0) - pb / nullif(pn, 0)) <= {ALIKE}::DOUBLE * sqrt(pb / nullif(pn, 0) * (1 - pb / nullif(pn, 0)) * (1 / nullif(nl, 0) + 1 / nullif(pn, 0))), TRUE) THEN '' ELSE template END AS branch FROM tt JOIN ps USING (host, form)),
+mg AS (SELECT host, form, branch, sum(nl) AS mn, sum(nb) AS mb FROM br GROUP BY ALL),
+j AS (SELECT br.host, br.template, round((mb + {PRIOR_WEIGHT}::DOUBLE * ((hb + {PRIOR_WEIGHT}::DOUBLE * prior) / (hn + {PRIOR_WEIGHT}::DOUBLE))) / (mn + {PRIOR_WEIGHT}::DOUBLE), 9) AS bad_share
+  FROM br JOIN mg USING (host, form, branch) JOIN hs ON hs.host = br.host, pr)
+SELECT page_id, s.host, path, rule, coalesce(said, CASE WHEN bad_share >= {REJECT} THEN 'block' ELSE 'allow' END) AS verdict, template, bad_share
+FROM (SELECT *, {rule} AS rule, {said} AS said FROM s) s JOIN tpl USING (host, shape) JOIN j USING (host, template)
+"""
