@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import html, urls
 from ..operators import crawl, discovery, events, links, report, scoring, sitemaps, store
 from ..sources.fixtures import duck, fixture
-from ..sources.scratch import shared_dir
+from ..sources.scratch import own_dir
 from ..streaming import jobs
 from . import sql as q
 from .audit_queries import ORACLES as AUDIT_ORACLES
@@ -346,7 +346,7 @@ def page_type_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _kept(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/siteweave/out-{uuid.uuid4().hex}"
+    return f"{own_dir(spark)}/out-{uuid.uuid4().hex}"
 
 
 @query("SELECT time_bucket(INTERVAL 10 MINUTES, ts) AS start, count(*)::BIGINT AS failures FROM events WHERE event_type = 'error' GROUP BY 1")

@@ -19,9 +19,23 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def own_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
+    return f"{shared_dir(spark)}/siteweave/{spark.sparkContext.applicationId}"
+
+
 def written(df: DataFrame) -> DataFrame:
-    """Write ``df`` and read it back: lineage ends at a table that outlives any executor."""
+    """Write ``df`` and read it back: lineage ends at a table that outlives any executor.
+
+    The table stays, as results read from it may be lazy; ``clear`` removes it.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/siteweave/{uuid.uuid4().hex}"
+    path = f"{own_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove all tables this application has written between steps; none of its lazy results can be read after."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(own_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

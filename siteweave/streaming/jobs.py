@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import telemetry
-from ..sources.scratch import shared_dir
+from ..sources.scratch import own_dir
 
 
 def events_stream(spark: SparkSession, sf_dir: str, name: str = "events") -> DataFrame:
@@ -25,7 +25,7 @@ def run_once(stream: DataFrame, write, mode: str = "append") -> None:
     ``write`` gets each batch and its number and must be able to run a batch
     again: a restart after a lost driver repeats the last one.
     """
-    place = f"{shared_dir(stream.sparkSession)}/siteweave/stream-{uuid.uuid4().hex}"
+    place = f"{own_dir(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", place).trigger(availableNow=True).foreachBatch(write).start()
     query.awaitTermination()
 
@@ -46,7 +46,7 @@ class RollingAlerts:
 
     def __init__(self, spark: SparkSession, n: int = telemetry.WINDOW):
         self.spark, self.n = spark, n
-        self.path = f"{shared_dir(spark)}/siteweave/window-{uuid.uuid4().hex}"
+        self.path = f"{own_dir(spark)}/window-{uuid.uuid4().hex}"
         self.batch = None
 
     def write(self, batch: DataFrame, number: int) -> None:

@@ -5,7 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from siteweave.operators import crawl, events, links, scoring, telemetry
-from siteweave.sources import web
+from siteweave.sources import scratch, web
 from siteweave.streaming import jobs
 
 
@@ -83,3 +83,13 @@ def test_reduction_report(spark):
     df = spark.createDataFrame(rows, "site string, base_pages int, pages int, base_s double, s double, templates int, base_templates int")
     got = {r.site: (r.page_reduction, r.outcome) for r in scoring.reduction_report(df).collect()}
     assert got == {"a": (60.0, "ELITE"), "b": (20.0, "STABLE"), "c": (30.0, "PASS"), "d": (-20.0, "REGRESSED"), "e": (0.0, "STABLE")}
+
+
+def test_scratch_tables_can_be_cleared(spark):
+    kept = scratch.written(spark.range(3))
+    assert kept.count() == 3
+    place = scratch.own_dir(spark)
+    fs = spark._jvm.org.apache.hadoop.fs.Path(place)
+    assert fs.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs)
+    scratch.clear(spark)
+    assert not fs.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs)
