@@ -20,7 +20,7 @@ def small_batches(spark: SparkSession) -> None:
     """
     if int(spark.conf.get(BATCH_KEY, "10000")) not in range(1, BATCH_ROWS + 1):
         spark.conf.set(BATCH_KEY, str(BATCH_ROWS))
-    asked = spark.conf.get(BYTES_KEY, "")
+    asked = spark.conf.get(BYTES_KEY, "64m").removesuffix("b")
     if not (asked.isdigit() and 0 < int(asked) <= BATCH_BYTES):
         spark.conf.set(BYTES_KEY, str(BATCH_BYTES))
 
