@@ -1,11 +1,11 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman.
 
-The words of test items give n-gram seeds.  One pass over the corpus counts
-the documents that hold each seed; a seed is rare if few documents hold it, in
-absolute terms or beside the item's rarest seeds, so an item that leaked into
-very many documents still has seeds.  A second pass joins passages to items by
-rare seeds and aligns each passage's words with the item's: a local alignment
-scores edited and paraphrased copies as well as literal ones.
+The words of test items give n-gram seeds.  One pass over the corpus joins
+passages to items by seeds and aligns each passage's words with the item's: a
+local alignment scores edited and paraphrased copies as well as literal ones.
+No seed is left out, however many documents hold it: a copy may have none but
+frequent ones.  Instead, a passage is aligned only if it holds enough of the
+item's words for a copy, which loses nothing.
 
 The items are a stated query set, held against all documents in blocks of
 bounded size; each block is small enough to be broadcast.
@@ -26,9 +26,6 @@ from ._words import U64, Words, chunks, shingle_hashes, text_buffer
 SEED_WORDS = 5
 #: Similarity: share of the item's words that the alignment matches.
 PERCENT = 80
-#: A seed is rare if at most RARE documents hold it, or TIMES as many as hold
-#: the seed that fewest (but some) hold.
-RARE, TIMES = 8, 8
 #: Words of an item that are aligned at once; a longer item is held in parts.
 PART_WORDS = 400
 #: Letters of items in one block, the bound of what is broadcast.
@@ -71,24 +68,11 @@ class Index:
         self.seed = np.concatenate(seeds) if seeds else np.zeros(0, U64)
         self.part = np.repeat(np.arange(len(seeds)), [len(s) for s in seeds])
         self.place = np.concatenate([np.arange(len(s)) for s in seeds]) if seeds else np.zeros(0, np.int64)
-        self._sort()
-
-    def _sort(self) -> None:
         order = np.argsort(self.seed, kind="stable")
         self.seed, self.part, self.place = self.seed[order], self.part[order], self.place[order]
         self.maybe = np.zeros(1 << 22, bool)
         self.maybe[(self.seed >> U64(42)).astype(np.int64)] = True
 
-    def keep_rare(self, found: dict[int, int]) -> None:
-        """Leave the seeds that are rare among ``found``, documents by seed."""
-        n = np.array([found.get(int(s), 0) for s in self.seed.view(np.int64)], np.int64)
-        least = np.full(len(self.words), np.iinfo(np.int64).max // TIMES)
-        some = n > 0
-        np.minimum.at(least, self.part[some], n[some])
-        rare = some & (n <= np.maximum(RARE, TIMES * least[self.part]))
-        self.seed, self.part, self.place = self.seed[rare], self.part[rare], self.place[rare]
-        self._sort()
-
     def hits(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Word places of a text at which a seed stands, and the seeds' hashes."""
         places, seeds = [], []
@@ -164,11 +148,13 @@ def found_in(words: np.ndarray, index: Index, percent: int = PERCENT) -> list[tu
         a = int(start[i])
         while a <= start[j]:
             begin, end = max(0, a - slack), min(len(words), a + len(item) + 2 * slack)
-            score, matched, left, right = align(item, words[begin:end])
-            row = (matched / len(item), score / (MATCH * len(item)), begin + left, begin + right - 1)
-            name = index.items[part[i]]
-            if 100 * matched >= percent * len(item) and (name not in best or row[:2] > best[name][:2]):
-                best[name] = row
+            # no alignment matches more of the item's words than stand in the window
+            if 100 * np.count_nonzero(np.isin(item, words[begin:end])) >= percent * len(item):
+                score, matched, left, right = align(item, words[begin:end])
+                row = (matched / len(item), score / (MATCH * len(item)), begin + left, begin + right - 1)
+                name = index.items[part[i]]
+                if 100 * matched >= percent * len(item) and (name not in best or row[:2] > best[name][:2]):
+                    best[name] = row
             later = start[i : j + 1][start[i : j + 1] > a + slack]
             a = int(later[0]) if len(later) else int(start[j]) + 1
         i = j + 1
@@ -195,22 +181,6 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text(docs).alias("text"))
 
 
-def _rare(docs: DataFrame, index: Index) -> Index:
-    """The index with the seeds that are rare in the whole corpus."""
-    shared = docs.sparkSession.sparkContext.broadcast(index)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            held = [np.unique(shared.value.hits(words)[1]) for words in _words(batch.column("text"))]
-            seeds, counts = np.unique(np.concatenate(held) if held else np.zeros(0, U64), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(seeds.view(np.int64)), pa.array(counts.astype(np.int64))], ["seed", "n"])
-
-    counts = docs.select(_text(docs).alias("text")).mapInArrow(run, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
-    # at most as many rows as the block has seeds
-    index.keep_rare({r["seed"]: r["n"] for r in counts.collect()})
-    return index
-
-
 def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Pairs of a document and a test item it holds a copy of.
 
@@ -227,7 +197,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> Data
     """
     found = None
     for index in _blocks(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(_rare(docs, index))
+        shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -262,5 +232,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> Data
     clean.  Columns keep their names and order, whatever they are.
     """
     for index in _blocks(benchmark):
-        docs = docs.where(_is_clean(docs.sparkSession.sparkContext.broadcast(_rare(docs, index)), percent)(_text(docs)))
+        docs = docs.where(_is_clean(docs.sparkSession.sparkContext.broadcast(index), percent)(_text(docs)))
     return docs

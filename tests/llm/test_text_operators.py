@@ -280,6 +280,16 @@ def test_leaks_in_blocks_and_in_most_documents(spark, monkeypatch):
     assert {(i, 3) for i in range(60)} | {(60, 5)} == got
 
 
+def test_leaks_with_frequent_seeds_only(spark):
+    """One document holds the whole item or one chance seed of it, many hold the same edited passage."""
+    item = [f"w{i}" for i in range(40)]
+    edited = " ".join(item[:20] + ["changed"] + item[21:])
+    bench = spark.createDataFrame([(0, " ".join(item))], "item_id long, text string")
+    for other, found in ((" ".join(item), {20}), ("a " + " ".join(item[18:23]) + " b", set())):
+        got = decontaminate.leaks(docs(spark, [edited] * 20 + [other]), bench)
+        assert {r.doc_id for r in got.collect()} == set(range(20)) | found
+
+
 def test_alignment_like_the_textbook():
     rng = random.Random(4)
     for _ in range(60):
