@@ -1,7 +1,10 @@
 """License scans: exact phrases, and a set-similarity join with templates.
 
-A text block is a line.  A template is found in a block if the block's word
-set holds at least ``CONTAINMENT`` percent of the template's word set.  The
+Text blocks are the lines and, as notices are wrapped, all runs of consecutive
+words as long as the template and the share of other words that CONTAINMENT
+leaves room for, wherever lines end.  A template is found in a block if the
+block's word set holds at least ``CONTAINMENT`` percent of the template's word
+set.  The
 join is exact and filtered as set-similarity joins are: template words are
 ordered by their frequency over the whole corpus, rarest first; a block can
 qualify only if it holds a word of the template's prefix (prefix filter), has
@@ -128,6 +131,42 @@ def _contained(lines: Column, index: list[tuple]) -> Column:
     return F.flatten(F.transform(near, block))
 
 
+def _in_runs(text: Column, templates: list[tuple[str, str]], found: dict[str, int]) -> Column:
+    """Label and containment of each template that qualifies in a run of words, by its best run."""
+    entry = F.array(
+        *[
+            F.struct(
+                F.lit(label).alias("label"),
+                _strings(words).alias("words"),
+                _strings(words[: len(words) - _needed(len(words)) + 1]).alias("prefix"),
+                F.lit(_needed(len(words))).alias("needed"),
+                F.lit(-(-100 * len(template.split()) // CONTAINMENT)).alias("length"),
+            )
+            for label, template in templates
+            for words in [sorted(set(template.split()), key=lambda w: (found.get(w, 0), w))]
+        ]
+    )
+
+    def best(e: Column, words: Column) -> Column:
+        # a run that qualifies can be cut to one that begins with a word of the template
+        starts = F.filter(F.sequence(F.lit(1), F.size(words)), lambda i: F.array_contains(e["words"], F.element_at(words, i)))
+        return F.array_max(F.transform(starts, lambda i: F.size(F.array_intersect(e["words"], F.slice(words, i, e["length"])))))
+
+    def runs(words: Column, held: Column) -> Column:
+        # a run holds no word that the text doesn't
+        near = F.filter(entry, lambda e: F.arrays_overlap(held, e["prefix"]) & (F.size(F.array_intersect(e["words"], held)) >= e["needed"]))
+        shares = F.transform(
+            near,
+            lambda e: F.struct(e["label"].alias("label"), best(e, words).alias("shared"), F.size(e["words"]).alias("size"), e["needed"].alias("needed")),
+        )
+        kept = F.filter(shares, lambda x: x["shared"] >= x["needed"])
+        return F.transform(kept, lambda x: F.struct(x["label"].alias("label"), (x["shared"] / x["size"]).alias("share")))
+
+    # an array of one, so that the words are made once
+    texts = F.array(_words(F.translate(text, _UPPER, _LOWER)))
+    return F.flatten(F.transform(texts, lambda words: runs(words, F.array_distinct(words))))
+
+
 def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, phrases: list[tuple[str, str]] | None = None) -> DataFrame:
     """License labels of each row of ``docs``.
 
@@ -145,7 +184,8 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, phrase
     if len(templates) > MAX_TEMPLATES:
         raise ValueError(f"more than {MAX_TEMPLATES} templates")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    index = _index(templates, _frequencies(rows, templates))
+    found = _frequencies(rows, templates)
+    index = _index(templates, found)
     wanted = sorted({x[0] for x in index} | {p.split()[0] for p, _ in phrases})
     rows = rows.withColumn("words", _words(F.lower("text")))
     rows = rows.select(
@@ -163,6 +203,10 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, phrase
         rows = rows.withColumn(f"l{i}", F.when(there, last.cast("long")).otherwise(none))
     nothing = F.array().cast("array<struct<label:string,share:double>>")
     rows = rows.withColumn("blocks", F.when(maybe, _contained(F.split(text, "\n"), index)).otherwise(nothing))
+    if templates:
+        rows = rows.withColumn("runs", F.when(maybe, _in_runs(text, templates, found)).otherwise(nothing))
+        held = lambda r: F.exists("blocks", lambda b: (b["label"] == r["label"]) & (b["share"] >= r["share"]))
+        rows = rows.withColumn("blocks", F.concat("blocks", F.filter("runs", lambda r: ~held(r))))
     base = F.filter(
         F.array(*[F.when(F.col(f"n{i}") > 0, F.lit(label)) for i, (_, label) in enumerate(phrases)]), lambda x: x.isNotNull()
     )

@@ -199,6 +199,21 @@ def test_scan_like_brute_force(spark):
         licenses.scan(df, [("x", "y")] * (licenses.MAX_TEMPLATES + 1))
 
 
+def test_wrapped_notices(spark):
+    notices = {
+        "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal",
+        "gpl-3": "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by",
+        "bsd-3": "Redistribution and use in source and binary forms, with or without\r\nmodification, are permitted provided that the following conditions\r\nare met:",
+        "apache-2": " * you may not use this file except in compliance with the License.\n * You may obtain a copy of the License at",
+    }
+    filler = "other words\n" * 30
+    spread = notices["mit"].split()
+    texts = [f"{filler}{n}\n{filler}" for n in notices.values()] + [("\n" + filler).join(spread), " ".join(spread[:9]) + "\n" + filler]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i].labels for i in range(len(texts))] == [*notices, "", ""]
+    assert all(got[i].score == 1.0 for i in range(4)) and got[0].n_base == 0
+
+
 # chats --------------------------------------------------------------------------
 
 
