@@ -25,7 +25,8 @@ RULES = [
 ]
 #: Levels of the tree; segments below them are one wildcard tail.
 LEVELS = 4
-#: A node with this many children or more keeps only those with this percentage of its pages.
+#: A node with this many children or more names only those with this percentage of its pages
+#: and those that labels set apart.
 MANY, LEAST_PERCENT = 8, 5
 #: Deviations within which sibling templates count as alike.
 ALIKE = 1.96
@@ -63,18 +64,28 @@ def _shape(path: Column) -> Column:
     return F.transform(parts, lambda s: F.when(s.rlike(VARIABLE), "*").otherwise(s))
 
 
+def _apart(own_n: str, own_bad: str, all_n: str, all_bad: str) -> Column:
+    """Whether a branch's bad share, smoothed towards that of all, differs from it by more than chance."""
+    pooled = F.try_divide(all_bad, all_n)
+    rate = (F.col(own_bad) + PRIOR_WEIGHT * pooled) / (F.col(own_n) + PRIOR_WEIGHT)
+    spread = F.sqrt(pooled * (1 - pooled) / (F.col(own_n) + PRIOR_WEIGHT))
+    return F.coalesce(F.abs(rate - pooled) > ALIKE * spread, F.lit(False))
+
+
 def _templates(shapes: DataFrame) -> DataFrame:
-    """Template of each (host, shape); ``shapes`` has its pages in n."""
-    tree = shapes.select("host", "shape", "n").withColumn("prefix", F.lit(""))
+    """Template of each (host, shape); ``shapes`` has its pages in n, and their labels."""
+    sums = [F.sum(c).alias(c) for c in ("n_labelled", "n_bad")]
+    node_sums = [F.sum(c).alias(f"all_{c}") for c in ("n_labelled", "n_bad")]
+    apart = _apart("n_labelled", "n_bad", "all_n_labelled", "all_n_bad")
+    tree = shapes.select("host", "shape", "n", "n_labelled", "n_bad").withColumn("prefix", F.lit(""))
     for level in range(1, LEVELS + 1):
         segment = F.when(F.size("shape") >= level, F.element_at("shape", F.least(F.size("shape"), F.lit(level))))
         here = tree.withColumn("segment", segment)
-        children = here.where("segment is not null").groupBy("host", "prefix", "segment").agg(F.sum("n").alias("pages"))
-        nodes = children.groupBy("host", "prefix").agg(F.count(F.lit(1)).alias("branches"), F.sum("pages").alias("all_pages"))
-        # at most max(MANY - 1, 100 / LEAST_PERCENT) children of a node keep their name
+        children = here.where("segment is not null").groupBy("host", "prefix", "segment").agg(F.sum("n").alias("pages"), *sums)
+        nodes = children.groupBy("host", "prefix").agg(F.count(F.lit(1)).alias("branches"), F.sum("pages").alias("all_pages"), *node_sums)
         named = (
             children.join(nodes, ["host", "prefix"])
-            .where((F.col("branches") < MANY) | (100 * F.col("pages") >= LEAST_PERCENT * F.col("all_pages")))
+            .where((F.col("branches") < MANY) | (100 * F.col("pages") >= LEAST_PERCENT * F.col("all_pages")) | apart)
             .select("host", "prefix", "segment", F.lit(True).alias("named"))
         )
         tree = (
@@ -85,7 +96,7 @@ def _templates(shapes: DataFrame) -> DataFrame:
                     F.concat("prefix", F.lit("/"), F.when(F.col("named"), F.col("segment")).otherwise("*"))
                 ),
             )
-            .select("host", "shape", "n", "prefix")
+            .select("host", "shape", "n", "n_labelled", "n_bad", "prefix")
         )
     tail = F.when(F.size("shape") > LEVELS, "/**").otherwise("")
     return tree.select("host", "shape", F.concat("prefix", tail).alias("template"))

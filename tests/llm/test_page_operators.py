@@ -155,6 +155,21 @@ def test_url_filter_like_brute_force(spark):
     assert {r.verdict for r in url_filter.filter_urls(df, marks.limit(0), []).collect()} == {"allow"}
 
 
+def judged_paths(spark, paths, bad):
+    """Verdict of each path of one host; every page has a label."""
+    df = spark.createDataFrame([(i, f"http://h.test{p}") for i, p in enumerate(paths)], "page_id long, url string")
+    marks = spark.createDataFrame([(i, int(bad(p))) for i, p in enumerate(paths)], "page_id long, bad int")
+    return {paths[r.page_id]: r.verdict for r in url_filter.filter_urls(df, marks, []).collect()}
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_small_sections_that_labels_set_apart(spark, few):
+    """Thirty sections of 3.3 %, one unlike the others."""
+    paths = [f"/section-{'abcdefghijklmnopqrstuvwxyzABCD'[i % 30]}/{i}" for i in range(600)]
+    bad = lambda p: p.startswith("/section-c/") == few
+    assert judged_paths(spark, paths, bad) == {p: "block" if bad(p) else "allow" for p in paths}
+
+
 # licenses -----------------------------------------------------------------------
 
 
