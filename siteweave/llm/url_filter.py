@@ -23,7 +23,8 @@ RULES = [
     ("block", "example.net/de/8"),
     ("block", "org/es/"),
 ]
-#: Levels of the tree; segments below them are one wildcard tail.
+#: Levels of the tree that take names by pages; segments below them are one
+#: wildcard tail but for branches that labels set apart.
 LEVELS = 4
 #: A node with this many children or more names only those with this percentage of its pages
 #: and those that labels set apart.
@@ -98,8 +99,42 @@ def _templates(shapes: DataFrame) -> DataFrame:
             )
             .select("host", "shape", "n", "n_labelled", "n_bad", "prefix")
         )
-    tail = F.when(F.size("shape") > LEVELS, "/**").otherwise("")
-    return tree.select("host", "shape", F.concat("prefix", tail).alias("template"))
+    return _tails(tree)
+
+
+def _tails(tree: DataFrame) -> DataFrame:
+    """Templates below LEVELS: tails, but for the branches that labels set apart."""
+    last = tree.agg(F.max(F.size("shape"))).first()[0] or 0
+    if last <= LEVELS:
+        return tree.select("host", "shape", F.col("prefix").alias("template"))
+    # rest: the wildcards since the last name; mixed: whether the node has good and bad pages, else nothing below differs
+    tree = written(tree.withColumns({"rest": F.lit(""), "mixed": F.lit(True)}))
+    sums = [F.sum(c).alias(c) for c in ("n_labelled", "n_bad")]
+    node_sums = [F.sum(c).alias(f"all_{c}") for c in ("n_labelled", "n_bad")]
+    apart = _apart("n_labelled", "n_bad", "all_n_labelled", "all_n_bad")
+    for level in range(LEVELS + 1, last + 1):
+        inside = (F.size("shape") >= level) & F.col("mixed")
+        here = tree.withColumn("segment", F.when(inside, F.element_at("shape", F.least(F.size("shape"), F.lit(level)))))
+        children = here.where("segment is not null").groupBy("host", "prefix", "rest", "segment").agg(*sums)
+        nodes = children.groupBy("host", "prefix", "rest").agg(*node_sums).where("all_n_bad > 0 and all_n_bad < all_n_labelled")
+        known = children.join(nodes, ["host", "prefix", "rest"]).select("host", "prefix", "rest", "segment", apart.alias("named"))
+        name = F.concat("prefix", "rest", F.lit("/"), "segment")
+        tree = written(
+            here.join(known, ["host", "prefix", "rest", "segment"], "left").select(
+                "host",
+                "shape",
+                "n",
+                "n_labelled",
+                "n_bad",
+                F.when(F.col("named"), name).otherwise(F.col("prefix")).alias("prefix"),
+                F.when(F.col("named"), "").when(F.size("shape") >= level, F.concat("rest", F.lit("/*"))).otherwise(F.col("rest")).alias("rest"),
+                F.col("named").isNotNull().alias("mixed"),
+            )
+        )
+        if tree.where(F.col("mixed") & (F.size("shape") > level)).isEmpty():
+            tree = tree.withColumn("rest", F.when(F.size("shape") > level, "/**").otherwise(F.col("rest")))
+            break
+    return tree.select("host", "shape", F.concat("prefix", F.when(F.col("rest") != "", "/**").otherwise("")).alias("template"))
 
 
 def _judged(templates: DataFrame) -> DataFrame:

@@ -170,6 +170,13 @@ def test_small_sections_that_labels_set_apart(spark, few):
     assert judged_paths(spark, paths, bad) == {p: "block" if bad(p) else "allow" for p in paths}
 
 
+@pytest.mark.parametrize("tail", ["", "/a", "/7/x/y"])
+def test_branches_below_the_named_levels(spark, tail):
+    paths = [f"/en/2024/05/17{tail}/{s}/w{i}" for i in range(20) for s in ("casino", "news")]
+    bad = lambda p: "casino" in p
+    assert judged_paths(spark, paths, bad) == {p: "block" if bad(p) else "allow" for p in paths}
+
+
 # licenses -----------------------------------------------------------------------
 
 
