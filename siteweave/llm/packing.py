@@ -1,27 +1,32 @@
 """Bulk-synchronous best-fit packing of tokenised documents.
 
-Pieces and gaps are kept sorted by size.  A round takes the longest size
-still unplaced; all its pieces look for their successor among the gaps, the
-smallest gap that holds them; pieces that want the same gap are served by
-their rank; the gaps shrink and the next round begins.
-
-Sizes are whole numbers up to ``max_length``, so the sorted tables of pieces
-and of gaps are runs of equal sizes: at most max_length rows each, however
-many documents there are.  Rounds exchange these run tables, which the driver
-sweeps; the pieces themselves are ranked and placed in parallel, from the
-placement runs.  What reaches the driver is bounded by max_length, never by
-the corpus.
+Pieces and gaps are two tables that are sorted by size over range partitions.
+A round takes the longest pieces still unplaced, a class of similar sizes:
+
+  1. Gaps offer slots: as many as hold any piece of the class, and what is
+     left over if that may still hold one.
+  2. Slots and pieces are range-sorted together, largest first.  Each
+     partition sweeps its range: a piece takes its successor, the smallest
+     free slot that holds it; pieces that want one slot get it by their rank.
+  3. Pieces without a slot in their partition take those that partitions of
+     larger sizes have left, again by rank.  Only the two counts of each
+     partition meet, the rows are joined on their common rank.
+  4. Pieces that no gap holds open new sequences, no more than any packing
+     of them needs.  Gaps shrink by what they got, and the next round begins.
+
+Rounds are bounded by the number of classes and end when no piece is left;
+each is written, so a lost executor costs one step.  The driver sees counts
+only: of lengths and rooms (at most max_length each) and of partitions.
 """
 
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._spark import small_batches, written
@@ -29,8 +34,10 @@ from .tokens import JSON_FILE, RANKS_FILE, encode
 
 MAX_LENGTH = 2048
 END_ID = 0
-#: Pieces of one length that a task ranks; a longer run is dealt to more tasks.
-RANKED_TOGETHER = 50_000
+#: Longest to shortest piece of a class, while a piece fills more than 1 / COARSE_BELOW of a sequence and beyond.
+FINE, COARSE, COARSE_BELOW = 1.25, 16, 8
+#: Rows of a sweep's partition: at least these while cores are free, at most those.
+LEAST_ROWS, MOST_ROWS = 25_000, 1_000_000
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -64,70 +71,195 @@ def pieces(docs: DataFrame, max_length: int, json_file: str, ranks_file: str | N
     )
 
 
-def sweep(counts: dict[int, int], max_length: int) -> tuple[dict[str, np.ndarray], int]:
-    """Placement runs for ``counts`` pieces of each length, and the sequences used.
+def successors(is_piece: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of matched slots and pieces in rows sorted from the largest size, slots first.
 
-    A run places the pieces of one length with ranks first..last, ``each`` to
-    a sequence, from sequence ``sequence`` on, beginning at ``offset``.
+    A piece takes the last free slot before it, the smallest that holds it:
+    slots and pieces match as brackets do.
     """
-    runs: list[tuple[int, int, int, int, int]] = []
-    gaps: dict[int, list[tuple[int, int]]] = {}  # gap: runs of (first sequence, how many)
-    order: list[int] = []
-    used = 0
-
-    def put(gap: int, first: int, n: int) -> None:
-        if gap and n:
-            if gap not in gaps:
-                gaps[gap] = []
-                insort(order, gap)
-            gaps[gap].append((first, n))
-
-    for length in sorted(counts, reverse=True):
-        left, rank = counts[length], 0
-        while left:
-            at = bisect_left(order, length)
-            if at == len(order):  # no successor: open sequences, as full as this length makes them
-                each = min(left, max_length // length)
-                n = left // each
-                first, gap = used, max_length
-                used += n
-            else:
-                gap = order[at]
-                first, n = gaps[gap].pop()
-                if not gaps[gap]:
-                    del gaps[gap], order[at]
-                each = min(left, gap // length)
-                take = min(n, left // each)
-                put(gap, first + take, n - take)
-                n = take
-            runs.append((length, rank, first, each, max_length - gap))
-            rank += n * each
-            left -= n * each
-            put(gap - each * length, first, n)
-    table = np.array(sorted(runs), np.int64).reshape(-1, 5)
-    return {k: table[:, i] for i, k in enumerate(("length", "rank", "sequence", "each", "offset"))}, used
-
-
-def _placed(ranked: DataFrame, runs: dict[str, np.ndarray], max_length: int) -> DataFrame:
-    # runs sort by length, then rank: one number per run finds a piece's by bisection
-    limit = np.int64(1) << np.int64(62 - max_length.bit_length())
-    keys = runs["length"] * limit + runs["rank"]
-    shared = ranked.sparkSession.sparkContext.broadcast((keys, runs))
+    depth = np.cumsum(np.where(is_piece, -1, 1))
+    level = np.where(is_piece, depth + 1, depth)
+    # within a level slots and pieces alternate
+    order = np.argsort(level, kind="stable")
+    a, b = order[:-1], order[1:]
+    match = (level[a] == level[b]) & ~is_piece[a] & is_piece[b]
+    return a[match], b[match]
+
+
+def _swept(rows: DataFrame, parts: int) -> DataFrame:
+    """Matches within each range: part, uid, bin, length; what is left has a null bin or uid, and its place idx."""
+    by = [F.desc("size"), F.asc("is_piece"), F.desc("tie"), F.asc("id")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, table = shared.value
-        for batch in batches:
-            length, rank = batch.column("length").to_numpy(), batch.column("rank").to_numpy()
-            at = np.searchsorted(keys, length * limit + rank, side="right") - 1
-            beyond = rank - table["rank"][at]
-            sequence = table["sequence"][at] + beyond // table["each"][at]
-            offset = table["offset"][at] + beyond % table["each"][at] * length
-            yield pa.RecordBatch.from_arrays(
-                [*[batch.column(i) for i in range(5)], pa.array(sequence), pa.array(offset)],
-                ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
-            )
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        is_piece = table.column("is_piece").combine_chunks().to_numpy(zero_copy_only=False)
+        ids, size, part = (table.column(c).to_numpy() for c in ("id", "size", "part"))
+        slot, piece = successors(is_piece)
+        free = np.ones(len(ids), bool)
+        free[slot] = free[piece] = False
+        slots, waiting = np.flatnonzero(free & ~is_piece), np.flatnonzero(free & is_piece)
+        none = lambda n: pa.nulls(n, pa.int64())
+        for uid, bins, at, idx in (
+            (pa.array(ids[piece]), pa.array(ids[slot]), piece, none(len(piece))),
+            (none(len(slots)), pa.array(ids[slots]), slots, pa.array(np.arange(len(slots)))),
+            (pa.array(ids[waiting]), none(len(waiting)), waiting, pa.array(np.arange(len(waiting)))),
+        ):
+            yield pa.RecordBatch.from_arrays([pa.array(part[at]), uid, bins, pa.array(size[at]), idx], ["part", "uid", "bin", "length", "idx"])
+
+    dealt = rows.repartitionByRange(parts, *by).sortWithinPartitions(*by)
+    return dealt.select(F.spark_partition_id().alias("part"), "size", "is_piece", "id").mapInArrow(
+        run, "part int, uid long, bin long, length long, idx long"
+    )
+
+
+def carried(counts: list[tuple[int, int, int]]) -> tuple[list[tuple], list[tuple]]:
+    """Ranges of pieces and of the slots they take from partitions of larger sizes.
+
+    ``counts`` has (part, waiting pieces, free slots), by part.  Returns the
+    ranges (piece part, first, last, slot part, slot of the first, key of the
+    first; later pieces take the slots before), and (part, pieces served, rank
+    of the next) of each part.
+    """
+    stack: list[list[int]] = []
+    ranges, rest, key, rank = [], [], 0, 0
+    for part, waiting, slots in counts:
+        done = 0
+        while done < waiting and stack:
+            n = min(waiting - done, stack[-1][1])
+            ranges.append((part, done, done + n - 1, stack[-1][0], stack[-1][1] - 1, key))
+            done, key = done + n, key + n
+            stack[-1][1] -= n
+            if not stack[-1][1]:
+                stack.pop()
+        rest.append((part, done, rank))
+        rank += waiting - done
+        if slots:
+            stack.append([part, slots])
+    return ranges, rest
+
 
-    return ranked.mapInArrow(run, _PIECES + ", sequence_id long, offset long")
+def _across(spark: SparkSession, left: DataFrame, ranges: list[tuple]) -> DataFrame:
+    """Matches (uid, bin, length) between the rows that partitions have left."""
+    table = spark.createDataFrame(pa.table(list(map(list, zip(*ranges, strict=True))), ["p", "first", "last", "s", "top", "key"]))
+    pieces = left.where("bin is null").join(table, F.expr("part = p and idx between first and last"))
+    slots = left.where("uid is null").join(table, F.expr("part = s and idx between top - (last - first) and top"))
+    return pieces.select("uid", "length", F.expr("key + idx - first").alias("k")).join(
+        slots.select("bin", F.expr("key + top - idx").alias("k")), "k"
+    ).select("uid", "bin", "length")
+
+
+def _lowest(top: int, max_length: int) -> int:
+    """Sizes above this one are in the class of ``top``."""
+    if top <= COARSE:
+        return 0
+    return int(top / FINE) if top * COARSE_BELOW > max_length else top // COARSE
+
+
+def _offered(gaps: DataFrame, rooms: dict[int, int], top: int, low: int, wanted: int) -> tuple[DataFrame | None, int]:
+    """Slots of the gaps, smallest rooms first, until there are as many as pieces; and about how many."""
+    most, share, n, sure = 0, 1, 0, 0
+    for room in sorted(r for r in rooms if r > low):
+        most = room
+        if room >= top:
+            # these hold any piece, so gaps of larger rooms can wait once there are as many
+            share = max(1, min(room // top, -(-(wanted - sure) // rooms[room])))
+            sure += share * rooms[room]
+        n += ((share if room >= top else 0) + (room % top > low)) * rooms[room]
+        if sure >= wanted:
+            break
+    if not n:
+        return None, 0
+    full = F.when(F.col("room") < most, F.floor(F.col("room") / top)).otherwise(F.least(F.floor(F.col("room") / top), F.lit(share)))
+    rest = F.col("room") - top * F.floor(F.col("room") / top)
+    slots = F.concat(F.array_repeat(F.lit(top).cast("long"), full.cast("int")), F.when(rest > low, F.array(rest)).otherwise(F.array().cast("array<bigint>")))
+    offered = gaps.where((F.col("room") > low) & (F.col("room") <= most)).select("bin", "room", F.explode(slots).alias("size"))
+    # of equal slots, those of the smaller gap come last and are taken first
+    return offered.select("size", F.lit(False).alias("is_piece"), F.col("bin").alias("id"), F.col("room").alias("tie")), n
+
+
+def _counted(rows: DataFrame, size: str) -> dict[int, int]:
+    """How many rows have each size: at most max_length counts."""
+    return {r[size]: r["n"] for r in rows.groupBy(size).agg(F.count(F.lit(1)).alias("n")).collect()}
+
+
+def _matched(current: DataFrame, offered: DataFrame | None, total: int) -> tuple[DataFrame, DataFrame | None]:
+    """Matches (uid, bin, length) of pieces with slots, and the pieces without: (uid, length, rank)."""
+    spark = current.sparkSession
+    rows = current.select(F.col("length").alias("size"), F.lit(True).alias("is_piece"), F.col("uid").alias("id"), F.lit(0).cast("long").alias("tie"))
+    if offered is not None:
+        rows = rows.unionByName(offered)
+    cores = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    swept = written(_swept(rows, max(1, -(-total // MOST_ROWS), min(cores, total // LEAST_ROWS))))
+    left = swept.where("uid is null or bin is null")
+    found = left.groupBy("part").agg(F.count("uid").alias("waiting"), F.count("bin").alias("free")).orderBy("part").collect()
+    counts = [(r["part"], r["waiting"], r["free"]) for r in found]
+    ranges, rest = carried(counts)
+    matched = swept.where("uid is not null and bin is not null").select("uid", "bin", "length")
+    if ranges:
+        matched = written(matched.unionByName(_across(spark, left, ranges)))
+    unserved = [r for r, c in zip(rest, counts, strict=True) if c[1] > r[1]]
+    if not unserved:
+        return matched, None
+    table = spark.createDataFrame(pa.table(list(map(list, zip(*unserved, strict=True))), ["p", "served", "base"]))
+    ranked = left.where("bin is null").join(table, F.expr("part = p and idx >= served"))
+    return matched, ranked.select("uid", "length", F.expr("base + idx - served").alias("rank"))
+
+
+def _packed(light: DataFrame, max_length: int) -> list[DataFrame]:
+    """Placements (uid, bin, length) of each round, for pieces (uid, length)."""
+    spark = light.sparkSession
+    untouched = _counted(light, "length")
+    gaps = spark.createDataFrame([], "bin long, room long")
+    rooms: dict[int, int] = {}
+    waiting, n_waiting, longest, bins, high = None, 0, 0, 0, max_length
+    out = []
+    while waiting is not None or any(k <= high for k in untouched):
+        top = longest if waiting is not None else max(k for k in untouched if k <= high)
+        low = _lowest(top, max_length)
+        current = light.where((F.col("length") > low) & (F.col("length") <= high))
+        n = sum(v for k, v in untouched.items() if low < k <= high) + n_waiting
+        if waiting is not None:
+            current = current.unionByName(waiting)
+        offered, n_slots = _offered(gaps, rooms, top, low, n)
+        matched, ranked = _matched(current, offered, n + n_slots)
+        if offered is not None:
+            got = matched.groupBy("bin").agg(F.sum("length").alias("got"))
+            shrunk = gaps.join(got, "bin", "left").select("bin", (F.col("room") - F.coalesce("got", F.lit(0))).alias("room"))
+            gaps = written(shrunk.where("room > 0"))
+            rooms = _counted(gaps, "room")
+            out.append(matched)
+        waiting, n_waiting, high = None, 0, low
+        if ranked is not None:
+            left = _counted(ranked, "length")
+            n_left, longest = sum(left.values()), max(left)
+            each = opened = 0
+            if not any(r >= longest for r in rooms):
+                # no gap holds the longest: open sequences, no more than any packing of these pieces needs
+                each = max_length // longest
+                volume = sum(k * v for k, v in left.items())
+                opened = min(-(-n_left // each), max(-(-volume // max_length), -(-n_left // (max_length // (low + 1)))))
+                own = ranked.where(F.col("rank") < opened * each)
+                own = own.select("uid", F.expr(f"{bins} + floor(rank / {each})").cast("long").alias("bin"), "length")
+                new = own.groupBy("bin").agg((F.lit(max_length) - F.sum("length")).alias("room")).where("room > 0")
+                for room, k in _counted(new, "room").items():
+                    rooms[room] = rooms.get(room, 0) + k
+                gaps = gaps.unionByName(new)
+                bins += opened
+                out.append(own)
+            n_waiting = max(0, n_left - opened * each)
+            if n_waiting == n:
+                raise RuntimeError("a round placed nothing")
+            if n_waiting:
+                waiting = ranked.where(F.col("rank") >= opened * each).select("uid", "length")
+                # ranks begin with the longest
+                for longest in sorted(left, reverse=True):
+                    n_left -= left[longest]
+                    if n_left < n_waiting:
+                        break
+    return out
 
 
 def pack(
@@ -149,30 +281,16 @@ def pack(
     ignored, whatever their names.
     """
     small_batches(docs.sparkSession)
-    table = written(pieces(docs, max_length, json_file, ranks_file, with_ids))
-    light = table.drop("ids")
-    counts = {r["length"]: r["n"] for r in light.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most max_length rows
-    runs, _ = sweep(counts, max_length)
-    parts = [1] * (max_length + 1)
-    for length, n in counts.items():
-        parts[length] = -(-n // RANKED_TOGETHER)
-    slots = F.element_at(F.array(*map(F.lit, parts)), (F.col("length") + 1).cast("int"))
-    dealt = light.withColumn("slot", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), slots))
-    sizes = dealt.groupBy("length", "slot").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("length").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sizes.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    inside = Window.partitionBy("length", "slot").orderBy("doc_id", "piece", "start", "ids_crc32")
-    ranked = (
-        dealt.withColumn("inside", F.row_number().over(inside))
-        .join(bases, ["length", "slot"])
-        .select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("inside") - 1).alias("rank"))
-    )
-    placed = _placed(ranked, runs, max_length)
-    if not with_ids:
-        return placed
-    # equal rows hold equal ids, so one of each is enough to join on
-    ids = table.select(
-        F.col("doc_id").alias("d"), F.col("piece").alias("p"), F.col("start").alias("s"), F.col("ids_crc32").alias("c"), "ids"
-    ).dropDuplicates(["d", "p", "s", "c"])
-    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("piece") == F.col("p")) & (F.col("start") == F.col("s")) & (F.col("ids_crc32") == F.col("c"))
-    return placed.join(ids, same).drop("d", "p", "s", "c")
+    table = written(pieces(docs, max_length, json_file, ranks_file, with_ids).withColumn("uid", F.monotonically_increasing_id()))
+    # sorted files: a round reads those of its class
+    light = written(table.select("uid", "length").repartitionByRange("length", "uid").sortWithinPartitions("length"))
+    rounds = _packed(light, max_length)
+    names = [c for c in table.columns if c not in ("uid", "ids")] + ["sequence_id", "offset"] + ["ids"] * with_ids
+    if not rounds:
+        return table.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")}).select(*names)
+    placed = rounds[0].withColumn("round", F.lit(0))
+    for i, part in enumerate(rounds[1:], 1):
+        placed = placed.unionByName(part.withColumn("round", F.lit(i)))
+    before = Window.partitionBy("bin").orderBy("round", F.desc("length"), "uid").rowsBetween(Window.unboundedPreceding, -1)
+    places = placed.select("uid", F.col("bin").alias("sequence_id"), F.coalesce(F.sum("length").over(before), F.lit(0)).alias("offset"))
+    return table.join(places, "uid").select(*names)

@@ -164,7 +164,7 @@ def test_cut():
 
 
 def test_packing_round_trip(spark, monkeypatch):
-    monkeypatch.setattr(packing, "RANKED_TOGETHER", 3)
+    monkeypatch.setattr(packing, "LEAST_ROWS", 20)
     rng = random.Random(7)
     texts = ODD + [" ".join(rng.choices(["alpha", "beta", "gamma", "42"], k=rng.randrange(90))) for _ in range(80)] + ["same words here"] * 9
     df = docs(spark, texts)
@@ -196,21 +196,70 @@ def test_packing_round_trip(spark, monkeypatch):
     assert packing.pack(df.limit(0)).count() == 0
 
 
-def test_sweep_is_best_fit_decreasing():
+def best_fit_decreasing(sizes, top):
+    gaps = []
+    for s in sorted(sizes, reverse=True):
+        fits = [g for g in gaps if g >= s]
+        if fits:
+            gaps.remove(min(fits))
+        gaps.append((min(fits) if fits else top) - s)
+    return len(gaps)
+
+
+def test_successors_like_a_stack():
     rng = random.Random(1)
-    for _ in range(30):
-        top = rng.randrange(5, 40)
-        sizes = [rng.randrange(1, top + 1) for _ in range(rng.randrange(1, 120))]
-        gaps = []
-        for s in sorted(sizes, reverse=True):
-            fits = [g for g in gaps if g >= s]
-            if fits:
-                gaps.remove(min(fits))
-                gaps.append(min(fits) - s)
-            else:
-                gaps.append(top - s)
-        _, used = packing.sweep(dict(Counter(sizes)), top)
-        assert used == len(gaps)
+    for _ in range(50):
+        rows = sorted((-rng.randrange(1, 30), rng.random() < 0.5) for _ in range(rng.randrange(1, 60)))
+        free, want = [], set()
+        for i, (_, piece) in enumerate(rows):
+            if not piece:
+                free.append(i)
+            elif free:
+                want.add((free.pop(), i))
+        slots, pieces = packing.successors(np.array([p for _, p in rows]))
+        assert set(zip(slots.tolist(), pieces.tolist(), strict=True)) == want
+        assert all(rows[s][0] <= rows[p][0] for s, p in want)
+
+
+def test_carried_ranks_like_a_stack():
+    rng = random.Random(2)
+    for _ in range(50):
+        counts = [(p, rng.randrange(5), rng.randrange(5)) for p in range(rng.randrange(1, 8))]
+        free, want, left = [], {}, []
+        for part, waiting, slots in counts:
+            for i in range(waiting):
+                if free:
+                    want[part, i] = free.pop()
+                else:
+                    left.append((part, i))
+            free += [(part, i) for i in range(slots)]
+        ranges, rest = packing.carried(counts)
+        got = {(p, i): (s, top - (i - first)) for p, first, last, s, top, _ in ranges for i in range(first, last + 1)}
+        assert got == want
+        assert len({key + i for _, first, last, _, _, key in ranges for i in range(last - first + 1)}) == len(want)
+        served, ranks = {p: n for p, n, _ in rest}, {p: r for p, _, r in rest}
+        assert [ranks[p] + i - served[p] for p, i in left] == list(range(len(left)))
+
+
+@pytest.mark.parametrize("kind", ["mixed", "large", "equal", "one"])
+def test_rounds_like_serial_best_fit(spark, monkeypatch, kind):
+    monkeypatch.setattr(packing, "LEAST_ROWS", 50)
+    rng = random.Random(3)
+    top = 128
+    sizes = {
+        "mixed": [rng.choice([top, rng.randrange(1, top + 1), rng.randrange(1, 20)]) for _ in range(400)],
+        "large": [rng.randrange(40, 90) for _ in range(200)],
+        "equal": [43] * 90 + [64] * 31,
+        "one": [1],
+    }[kind]
+    light = spark.createDataFrame(list(enumerate(sizes)), "uid long, length long")
+    placed = [tuple(r) for part in packing._packed(light, top) for r in part.collect()]
+    assert sorted((u, n) for u, _, n in placed) == list(enumerate(sizes))
+    used = Counter()
+    for _, sequence, n in placed:
+        used[sequence] += n
+    assert max(used.values()) <= top and set(used) == set(range(len(used)))
+    assert len(used) <= 1.02 * best_fit_decreasing(sizes, top) + 1
 
 
 def test_token_trees_after_edits(spark):
