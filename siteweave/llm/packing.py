@@ -16,7 +16,7 @@ A round takes the longest pieces still unplaced, a class of similar sizes:
 
 Rounds are bounded by the number of classes and end when no piece is left;
 each is written, so a lost executor costs one step.  The driver sees counts
-only: of lengths and rooms (at most max_length each) and of partitions.
+only: of lengths (at most max_length), of gaps by steps of room, of partitions.
 """
 
 from __future__ import annotations
@@ -35,7 +35,9 @@ from .tokens import JSON_FILE, RANKS_FILE, encode
 MAX_LENGTH = 2048
 END_ID = 0
 #: Longest to shortest piece of a class, while a piece fills more than 1 / COARSE_BELOW of a sequence and beyond.
-FINE, COARSE, COARSE_BELOW = 1.25, 16, 8
+FINE, COARSE, COARSE_BELOW = 1.5, 16, 8
+#: Gaps are counted by their slots: none, and from each of these numbers on.
+STEPS = [1, 4, 16, 64, 256]
 #: Rows of a sweep's partition: at least these while cores are free, at most those.
 LEAST_ROWS, MOST_ROWS = 25_000, 1_000_000
 
@@ -87,7 +89,10 @@ def successors(is_piece: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _swept(rows: DataFrame, parts: int) -> DataFrame:
-    """Matches within each range: part, uid, bin, length; what is left has a null bin or uid, and its place idx."""
+    """Matches within each range: part, uid, bin, length; what is left has a null bin or uid, and its place idx.
+
+    A row without uid and bin has the part's waiting pieces in length and its free slots in idx.
+    """
     by = [F.desc("size"), F.asc("is_piece"), F.desc("tie"), F.asc("id")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,7 +111,10 @@ def _swept(rows: DataFrame, parts: int) -> DataFrame:
             (pa.array(ids[piece]), pa.array(ids[slot]), piece, none(len(piece))),
             (none(len(slots)), pa.array(ids[slots]), slots, pa.array(np.arange(len(slots)))),
             (pa.array(ids[waiting]), none(len(waiting)), waiting, pa.array(np.arange(len(waiting)))),
+            (none(1), none(1), None, pa.array([len(slots)])),
         ):
+            if at is None:
+                size, at = np.array([len(waiting)]), np.array([0])
             yield pa.RecordBatch.from_arrays([pa.array(part[at]), uid, bins, pa.array(size[at]), idx], ["part", "uid", "bin", "length", "idx"])
 
     dealt = rows.repartitionByRange(parts, *by).sortWithinPartitions(*by)
@@ -158,33 +166,34 @@ def _lowest(top: int, max_length: int) -> int:
     return int(top / FINE) if top * COARSE_BELOW > max_length else top // COARSE
 
 
-def _offered(gaps: DataFrame, rooms: dict[int, int], top: int, low: int, wanted: int) -> tuple[DataFrame | None, int]:
-    """Slots of the gaps, smallest rooms first, until there are as many as pieces; and about how many."""
-    most, share, n, sure = 0, 1, 0, 0
-    for room in sorted(r for r in rooms if r > low):
-        most = room
-        if room >= top:
-            # these hold any piece, so gaps of larger rooms can wait once there are as many
-            share = max(1, min(room // top, -(-(wanted - sure) // rooms[room])))
-            sure += share * rooms[room]
-        n += ((share if room >= top else 0) + (room % top > low)) * rooms[room]
+def _offered(gaps: DataFrame, top: int, low: int, wanted: int) -> tuple[DataFrame | None, int]:
+    """Slots of the gaps, smallest rooms first, until there are as many as pieces; and how many."""
+    room, each = F.col("room"), F.floor(F.col("room") / top)
+    # gaps by the number of slots they have for any piece
+    spans = list(zip([0, *STEPS], [*STEPS, None], strict=True))
+    within = lambda a, b: (each >= a) if b is None else (each >= a) & (each < b)
+    sums = [F.sum(F.when(within(a, b), v)).alias(f"{k}{a}") for a, b in spans for k, v in (("gaps", 1), ("slots", each))]
+    near = gaps.where(room > low)
+    known = near.agg(*sums).first()
+    sure, n, most, share = 0, 0, None, 0
+    for a, b in spans:
+        held, slots = known[f"gaps{a}"] or 0, known[f"slots{a}"] or 0
+        # gaps with more room can wait once there are enough; of the last ones each gives its share
+        most, share = b, max(1, -(-(wanted - sure) // held)) if held else 1
+        n, sure = n + held + min(slots, held * share), sure + slots
         if sure >= wanted:
             break
     if not n:
         return None, 0
-    full = F.when(F.col("room") < most, F.floor(F.col("room") / top)).otherwise(F.least(F.floor(F.col("room") / top), F.lit(share)))
-    rest = F.col("room") - top * F.floor(F.col("room") / top)
+    last = spans[[b for _, b in spans].index(most)][0]
+    full = F.when(each >= max(1, last), F.least(each, F.lit(share))).otherwise(each)
+    rest = room - top * each
     slots = F.concat(F.array_repeat(F.lit(top).cast("long"), full.cast("int")), F.when(rest > low, F.array(rest)).otherwise(F.array().cast("array<bigint>")))
-    offered = gaps.where((F.col("room") > low) & (F.col("room") <= most)).select("bin", "room", F.explode(slots).alias("size"))
+    offered = (near if most is None else near.where(each < most)).select("bin", "room", F.explode(slots).alias("size"))
     # of equal slots, those of the smaller gap come last and are taken first
     return offered.select("size", F.lit(False).alias("is_piece"), F.col("bin").alias("id"), F.col("room").alias("tie")), n
 
 
-def _counted(rows: DataFrame, size: str) -> dict[int, int]:
-    """How many rows have each size: at most max_length counts."""
-    return {r[size]: r["n"] for r in rows.groupBy(size).agg(F.count(F.lit(1)).alias("n")).collect()}
-
-
 def _matched(current: DataFrame, offered: DataFrame | None, total: int) -> tuple[DataFrame, DataFrame | None]:
     """Matches (uid, bin, length) of pieces with slots, and the pieces without: (uid, length, rank)."""
     spark = current.sparkSession
@@ -193,9 +202,10 @@ def _matched(current: DataFrame, offered: DataFrame | None, total: int) -> tuple
         rows = rows.unionByName(offered)
     cores = int(spark.conf.get("spark.sql.shuffle.partitions"))
     swept = written(_swept(rows, max(1, -(-total // MOST_ROWS), min(cores, total // LEAST_ROWS))))
-    left = swept.where("uid is null or bin is null")
-    found = left.groupBy("part").agg(F.count("uid").alias("waiting"), F.count("bin").alias("free")).orderBy("part").collect()
-    counts = [(r["part"], r["waiting"], r["free"]) for r in found]
+    left = swept.where("idx is not null and (uid is not null or bin is not null)")
+    # one row of each partition
+    found = swept.where("uid is null and bin is null").select("part", "length", "idx").collect()
+    counts = sorted((r["part"], r["length"], r["idx"]) for r in found)
     ranges, rest = carried(counts)
     matched = swept.where("uid is not null and bin is not null").select("uid", "bin", "length")
     if ranges:
@@ -210,11 +220,8 @@ def _matched(current: DataFrame, offered: DataFrame | None, total: int) -> tuple
 
 def _packed(light: DataFrame, max_length: int) -> list[DataFrame]:
     """Placements (uid, bin, length) of each round, for pieces (uid, length)."""
-    spark = light.sparkSession
-    untouched = _counted(light, "length")
-    gaps = spark.createDataFrame([], "bin long, room long")
-    rooms: dict[int, int] = {}
-    waiting, n_waiting, longest, bins, high = None, 0, 0, 0, max_length
+    untouched = {r["length"]: r["n"] for r in light.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
+    gaps, waiting, n_waiting, longest, bins, high = None, None, 0, 0, 0, max_length
     out = []
     while waiting is not None or any(k <= high for k in untouched):
         top = longest if waiting is not None else max(k for k in untouched if k <= high)
@@ -223,42 +230,33 @@ def _packed(light: DataFrame, max_length: int) -> list[DataFrame]:
         n = sum(v for k, v in untouched.items() if low < k <= high) + n_waiting
         if waiting is not None:
             current = current.unionByName(waiting)
-        offered, n_slots = _offered(gaps, rooms, top, low, n)
+        offered, n_slots = _offered(gaps, top, low, n) if gaps is not None else (None, 0)
         matched, ranked = _matched(current, offered, n + n_slots)
         if offered is not None:
-            got = matched.groupBy("bin").agg(F.sum("length").alias("got"))
-            shrunk = gaps.join(got, "bin", "left").select("bin", (F.col("room") - F.coalesce("got", F.lit(0))).alias("room"))
-            gaps = written(shrunk.where("room > 0"))
-            rooms = _counted(gaps, "room")
+            changes = gaps.unionByName(matched.select("bin", (-F.col("length")).alias("room")))
+            gaps = written(changes.groupBy("bin").agg(F.sum("room").alias("room")).where("room > 0"))
             out.append(matched)
         waiting, n_waiting, high = None, 0, low
-        if ranked is not None:
-            left = _counted(ranked, "length")
-            n_left, longest = sum(left.values()), max(left)
-            each = opened = 0
-            if not any(r >= longest for r in rooms):
-                # no gap holds the longest: open sequences, no more than any packing of these pieces needs
-                each = max_length // longest
-                volume = sum(k * v for k, v in left.items())
-                opened = min(-(-n_left // each), max(-(-volume // max_length), -(-n_left // (max_length // (low + 1)))))
-                own = ranked.where(F.col("rank") < opened * each)
-                own = own.select("uid", F.expr(f"{bins} + floor(rank / {each})").cast("long").alias("bin"), "length")
-                new = own.groupBy("bin").agg((F.lit(max_length) - F.sum("length")).alias("room")).where("room > 0")
-                for room, k in _counted(new, "room").items():
-                    rooms[room] = rooms.get(room, 0) + k
-                gaps = gaps.unionByName(new)
-                bins += opened
-                out.append(own)
-            n_waiting = max(0, n_left - opened * each)
-            if n_waiting == n:
-                raise RuntimeError("a round placed nothing")
-            if n_waiting:
-                waiting = ranked.where(F.col("rank") >= opened * each).select("uid", "length")
-                # ranks begin with the longest
-                for longest in sorted(left, reverse=True):
-                    n_left -= left[longest]
-                    if n_left < n_waiting:
-                        break
+        if ranked is None:
+            continue
+        left = ranked.agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("volume"), F.max("length").alias("longest")).first()
+        longest, n_waiting = left["longest"], left["n"]
+        if gaps is None or gaps.where(F.col("room") >= longest).isEmpty():
+            # no gap holds the longest: open sequences, no more than any packing of these pieces needs
+            each = max_length // longest
+            opened = min(-(-n_waiting // each), max(-(-left["volume"] // max_length), -(-n_waiting // (max_length // (low + 1)))))
+            own = ranked.where(F.col("rank") < opened * each)
+            own = own.select("uid", F.expr(f"{bins} + floor(rank / {each})").cast("long").alias("bin"), "length")
+            new = written(own.groupBy("bin").agg((F.lit(max_length) - F.sum("length")).alias("room")).where("room > 0"))
+            gaps = new if gaps is None else gaps.unionByName(new)
+            bins += opened
+            out.append(own)
+            ranked = ranked.where(F.col("rank") >= opened * each)
+            n_waiting = max(0, n_waiting - opened * each)
+            longest = ranked.agg(F.max("length")).first()[0] if n_waiting else 0
+        if n_waiting == n:
+            raise RuntimeError("a round placed nothing")
+        waiting = ranked.select("uid", "length") if n_waiting else None
     return out
 
 
