@@ -3,15 +3,18 @@
 Features are hashed letter runs of the whole text and their beginnings, with
 the logarithm of their counts.  A logistic model is fitted to labelled
 documents under two penalties: the usual one on weights, and one on score
-changes between sentences that differ in an identity term only.  Pairs of such
-sentences come from the labelled documents that mention a term of
-``IDENTITY_TERMS``, each swapped for another of its group, and from the bare
-terms themselves, so that a group never mentioned still cannot move a score.
+changes between sentences that differ in an identity term only.
+
+Every labelled document gives such pairs.  Its sentences that mention a term
+of ``IDENTITY_TERMS`` are paired with those where each term is swapped for
+another of its group.  If it has none, one of its sentences gets a slot, and
+the pair is that sentence with one term in the slot and with another.
 Fitting uses a bounded sample of labelled rows; scoring reads all texts.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -31,24 +34,30 @@ BITS = 18
 #: Bytes of the beginnings that count as features beside whole runs.
 STARTS = (4, 6, 7)
 WEIGHT_PENALTY = 1e-4
-SWAP_PENALTY = 1.0
+SWAP_PENALTY = 30.0
 STEPS = 120
 SPEED = 0.1
 #: Rows that a feature must be met in, and its least log odds.
 LEAST_ROWS, LEAST_ODDS = 5, 1.0
 #: Parts of the sample for scores out of fold.
 INNER = 3
-#: Terms by group; a swap takes the next of its group.  Fixed values.
-IDENTITY_TERMS = [
-    "women men girls boys".split(),
-    "christian muslim jewish hindu buddhist atheist".split(),
-    "black white asian latino african european".split(),
-    "gay straight lesbian bisexual transgender".split(),
-    "old young elderly teenage".split(),
-    "immigrant native refugee foreign".split(),
-    "deaf blind disabled".split(),
-]
-
+#: Terms by language and group; a swap takes another of its group.  Fixed values; a caller's own replace them.
+IDENTITY_TERMS = {
+    "en": [
+        "women men girls boys".split(),
+        "christian muslim jewish hindu buddhist atheist".split(),
+        "black white asian latino african european".split(),
+        "gay straight lesbian bisexual transgender".split(),
+        "old young elderly teenage".split(),
+        "immigrant native refugee foreign".split(),
+        "deaf blind disabled".split(),
+    ],
+    "de": ["frauen männer mädchen jungen".split(), "christlich muslimisch jüdisch hinduistisch".split(), "schwul lesbisch bisexuell".split(), "ausländisch einheimisch geflüchtet".split()],
+    "fr": ["femmes hommes filles garçons".split(), "chrétien musulman juif hindou".split(), "homosexuel lesbienne bisexuel".split(), "étranger immigré réfugié".split()],
+    "es": ["mujeres hombres niñas niños".split(), "cristiano musulmán judío hindú".split(), "homosexual lesbiana bisexual".split(), "extranjero inmigrante refugiado".split()],
+}
+
+_LETTERS = re.compile(r"[^\W\d_]+")
 _LETTER = np.zeros(256, bool)
 _LETTER[0x41:0x5B] = True
 _LETTER[0x61:0x7B] = True
@@ -81,14 +90,29 @@ def _bags(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield ids, np.log1p(counts).astype(np.float32)
 
 
-def _swaps(text: str) -> list[tuple[str, str]]:
-    """The text's sentences that mention an identity term, and their counterfactuals."""
+def counterfactuals(text: str, terms: dict[str, list[list[str]]]) -> list[tuple[str, str]]:
+    """Pairs of sentences of the text that differ in identity terms only.
+
+    Sentences that mention terms are paired with their swaps.  A text without
+    any gets two terms of one group into a slot of one of its sentences;
+    sentence, slot and terms follow from the text's hash, so all groups of all
+    languages are met over many texts.  A text without words gives no pair.
+    """
+    groups = [g for language in sorted(terms) for g in terms[language] if len(g) > 1]
+    following = {w: g[(i + 1) % len(g)] for g in groups for i, w in enumerate(g)}
+    sentences = [s for s in text.lower().replace("\n", ".").split(".") if s.strip()]
     pairs = []
-    following = {w: g[(i + 1) % len(g)] for g in IDENTITY_TERMS for i, w in enumerate(g)}
-    for sentence in text.replace("\n", ".").split("."):
-        words = sentence.lower().split()
+    for sentence in sentences:
+        words = _LETTERS.findall(sentence)
         if any(w in following for w in words):
-            pairs.append((" ".join(words), " ".join(following.get(w, w) for w in words)))
+            pairs.append((sentence, _LETTERS.sub(lambda m: following.get(m[0], m[0]), sentence)))
+    if not pairs and sentences and groups:
+        at = zlib.crc32(text.encode())
+        words = sentences[at % len(sentences)].split()
+        group = groups[at // 7 % len(groups)]
+        slot, first = at // 11 % (len(words) + 1), at // 13 % len(group)
+        fill = lambda term: " ".join([*words[:slot], term, *words[slot:]])
+        pairs.append((fill(group[first]), fill(group[(first + 1) % len(group)])))
     return pairs
 
 
@@ -117,8 +141,9 @@ class _Sparse:
         return np.bincount(self.ids, weights=self.values * g[self.owner], minlength=size)
 
 
-def fit(texts: list[str | None], labels: np.ndarray) -> np.ndarray:
+def fit(texts: list[str | None], labels: np.ndarray, terms: dict[str, list[list[str]]] | None = None) -> np.ndarray:
     """Weights of the features, then the intercept.  Equal rows give equal weights."""
+    terms = IDENTITY_TERMS if terms is None else terms
     size = 1 << BITS
     own = [s or "" for s in texts]
     found = np.zeros(size, np.int32)
@@ -130,7 +155,7 @@ def fit(texts: list[str | None], labels: np.ndarray) -> np.ndarray:
     for i, (ids, values) in enumerate(rows):
         keep = found[ids] >= LEAST_ROWS
         rows[i] = (ids[keep], values[keep])
-    swaps = [p for s in own for p in _swaps(s)] + [(a, b) for g in IDENTITY_TERMS for i, a in enumerate(g) for b in g[i + 1 :]]
+    swaps = [p for s in own for p in counterfactuals(s, terms)]
     left = list(_bags(pa.array([a for a, _ in swaps], pa.large_string())))
     right = list(_bags(pa.array([b for _, b in swaps], pa.large_string())))
     apart = _Sparse([_difference(a, b) for a, b in zip(left, right, strict=True)])
@@ -201,13 +226,14 @@ def _fold(column) -> object:
     return F.crc32(column.cast("string").cast("binary")) % FOLDS
 
 
-def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> np.ndarray:
+def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, terms: dict[str, list[list[str]]] | None = None) -> np.ndarray:
     """Fit to labelled documents outside the held-out fold.
 
     ``max_train`` bounds the sample, which is the rows of smallest hash of
-    doc_id, whatever the table's size.  The sample's ids are broadcast (at
-    most max_train of them) and one executor task fits; the driver gets the
-    weights alone.  Rows with a null id, label or text have nothing to learn.
+    doc_id, whatever the table's size, also if documents repeat ids.  The
+    sample's ids are broadcast (at most max_train of them) and one executor
+    task fits; the driver gets the weights alone.  Rows with a null id, label
+    or text have nothing to learn.  ``terms`` replaces ``IDENTITY_TERMS``.
     """
     small_batches(docs.sparkSession)
     sample = (
@@ -220,11 +246,13 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> np.
         .limit(max_train)
     )
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    # ids may repeat, so the rows are bounded too; the top rows are found in each partition before they meet
     joined = texts.join(F.broadcast(sample), "doc_id").select("doc_id", "text", "toxic")
+    joined = joined.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"), "text").limit(max_train)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted((i, t, y) for b in batches for i, t, y in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "toxic")), strict=True))
-        weights = fit([r[1] for r in rows], np.array([r[2] for r in rows], float))
+        weights = fit([r[1] for r in rows], np.array([r[2] for r in rows], float), terms)
         at = np.flatnonzero(weights)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(weights[at])], ["at", "weight"])
 
@@ -243,7 +271,7 @@ def scores(texts: pa.Array, weights: np.ndarray) -> np.ndarray:
     return out
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, terms: dict[str, list[list[str]]] | None = None) -> DataFrame:
     """doc_id, held_out, score and predicted for each row of ``docs``.
 
     Only doc_id and text of ``docs`` and doc_id and toxic of ``labels`` are
@@ -253,7 +281,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) ->
     contradict each other the larger counts.  Without usable labels every
     score is 0.5.  An empty table gives no rows.
     """
-    weights = train(docs, labels, max_train).astype(np.float32)
+    weights = train(docs, labels, max_train, terms).astype(np.float32)
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

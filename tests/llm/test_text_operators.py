@@ -126,18 +126,69 @@ def test_toxicity_never_reads_held_out_labels(spark):
     assert a == b
 
 
+def gaps_and_accuracy(texts, y, learn, pairs):
+    """Mean change of the logit over the pairs, and accuracy on rows that were not learnt from."""
+    w = toxicity.fit([texts[i] for i in learn], y[learn].astype(float))
+    logit = lambda p: np.log(p / (1 - p))
+    a, b = (logit(toxicity.scores(pa.array([p[k] for p in pairs]), w)) for k in (0, 1))
+    rest = np.setdiff1d(np.arange(len(texts)), learn)
+    predicted = toxicity.scores(pa.array([texts[i] for i in rest]), w) >= 0.5
+    return float(np.abs(a - b).mean()), float((predicted == y[rest]).mean())
+
+
 def test_swapping_identity_terms_changes_scores_less_with_the_penalty(monkeypatch):
     texts, y = labelled()
-    pair = pa.array(["a muslim neighbour came", "a christian neighbour came"])
+    learn, pairs = np.arange(0, 300, 2), [("a muslim neighbour came", "a christian neighbour came")]
+    gap, right = gaps_and_accuracy(texts, np.array(y), learn, pairs)
+    monkeypatch.setattr(toxicity, "SWAP_PENALTY", 0.0)
+    plain_gap, plain_right = gaps_and_accuracy(texts, np.array(y), learn, pairs)
+    assert gap < 0.7 * plain_gap and right >= plain_right - 0.02
 
-    def gap():
-        w = toxicity.fit(texts, np.array(y, float))
-        a, b = toxicity.scores(pair, w)
-        return abs(np.log(a / (1 - a)) - np.log(b / (1 - b)))
 
-    with_penalty = gap()
+def test_counterfactuals_differ_in_terms_only():
+    rng = random.Random(4)
+    terms = {w for groups in toxicity.IDENTITY_TERMS.values() for g in groups for w in g}
+    met = set()
+    for text in [prose(rng, 30) for _ in range(600)] + ["Old men. No one.\nThe GAY uncle, a Muslim!", "x"]:
+        pairs = toxicity.counterfactuals(text, toxicity.IDENTITY_TERMS)
+        assert pairs
+        for a, b in pairs:
+            a, b = re.findall(r"\w+", a), re.findall(r"\w+", b)
+            unlike = [(x, z) for x, z in zip(a, b, strict=True) if x != z]
+            assert unlike and all(x in terms and z in terms for x, z in unlike)
+            met |= {x for x, _ in unlike}
+    assert met == terms
+    assert toxicity.counterfactuals("old men. no one.", toxicity.IDENTITY_TERMS) == [("old men", "young girls")]
+    assert toxicity.counterfactuals(" . ", toxicity.IDENTITY_TERMS) == [] == toxicity.counterfactuals("a b", {})
+
+
+def test_penalty_on_the_labelled_documents(spark, monkeypatch):
+    """On documents of sf0.1 whose toxic ones name a group more often, swaps move scores less at equal accuracy."""
+    known = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").join(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), "doc_id")
+    rows = known.where("n_chars < 3000").select("doc_id", "text", "toxic").orderBy("doc_id").collect()[:1200]
+    rng = random.Random(6)
+    texts, y = [], np.array([r.toxic for r in rows])
+    for r in rows:
+        named = rng.random() < (0.6 if r.toxic else 0.05)
+        texts.append(f"{r.text} The muslim came." if named else r.text)
+    assert all(toxicity.counterfactuals(t, toxicity.IDENTITY_TERMS) for t in texts if t.strip(". \n"))
+    learn = np.arange(0, len(texts), 2)
+    pairs = [(f"{r.text} A muslim came.", f"{r.text} A christian came.") for r in rows[1:200:2]]
+    gap, right = gaps_and_accuracy(texts, y, learn, pairs)
     monkeypatch.setattr(toxicity, "SWAP_PENALTY", 0.0)
-    assert with_penalty < 0.7 * gap()
+    plain_gap, plain_right = gaps_and_accuracy(texts, y, learn, pairs)
+    print(gap, plain_gap, right, plain_right)
+    assert gap < 0.7 * plain_gap and right >= plain_right - 0.01
+
+
+def test_training_rows_are_bounded_by_rows(spark):
+    """Repeated ids do not multiply the sample; the same rows give the same weights whatever their order."""
+    texts, y = labelled(60)
+    df = docs(spark, texts)
+    labels = spark.createDataFrame(list(enumerate(y)), "doc_id long, toxic int")
+    many = df.unionByName(df).unionByName(df)
+    a, b = toxicity.train(many, labels, 50), toxicity.train(many.orderBy("n_chars", "text"), labels, 50)
+    assert np.array_equal(a, b)
 
 
 def test_toxicity_without_labels_or_rows(spark):
