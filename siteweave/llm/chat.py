@@ -2,9 +2,10 @@
 
 Messages are parsed where they stand.  Calls and results become two slim
 tables that are hash-joined on (conversation, call id).  Calls that name other
-calls in their arguments are ordered by peeling: in each round the calls whose
-prerequisites are done get the next level, so rounds grow with the depth of
-the dependencies, not with the number of messages.  A message's place in its
+calls in their arguments are ordered by peeling and pointer doubling: in each
+round the calls whose prerequisites are done get their level, and a call that
+waits for one that itself waits for a single other looks past it, so a chain of
+n calls takes log n rounds.  A message's place in its
 conversation is a sort key made from its own turn, the turn of the call it
 answers and its level, so no conversation is ever gathered in one task.
 """
@@ -44,6 +45,7 @@ SCHEMAS: dict[str, dict] = {
 }
 #: An argument value of this form is the result of the call with that id.
 REFERENCE = re.compile(r"^\$([A-Za-z0-9_.:-]+)$")
+_SURROGATE = re.compile("[\ud800-\udfff]")
 _CALL = re.compile(r"<tool_call>\s*(.*?)\s*</tool_call>", re.DOTALL)
 _RESULT = re.compile(r"<tool_response>\s*(.*?)\s*</tool_response>", re.DOTALL)
 
@@ -64,9 +66,14 @@ def parsed(text: str):
     return json.loads(text, parse_float=_number, parse_constant=_refuse)
 
 
+def _escaped(text: str) -> str:
+    """Lone surrogates, which no encoding has, as their six-character escapes."""
+    return _SURROGATE.sub(lambda m: f"\\u{ord(m[0]):04x}", text)
+
+
 def canonical(value) -> str:
     """Keys sorted by code point, no spare white space, whole numbers without fraction."""
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    return _escaped(json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False))
 
 
 _TYPES = {
@@ -82,7 +89,8 @@ _TYPES = {
 
 def violations(value, schema: dict, at: str = "$") -> list[str]:
     """Where a value breaks a JSON schema; a reference to a result fits anything."""
-    if isinstance(value, str) and REFERENCE.match(value):
+    # an empty schema fits anything, however deep: recursion ends with the schema
+    if not schema or isinstance(value, str) and REFERENCE.match(value):
         return []
     out = []
     kinds = schema.get("type")
@@ -128,11 +136,17 @@ def violations(value, schema: dict, at: str = "$") -> list[str]:
 
 
 def _references(value) -> list[str]:
-    if isinstance(value, str):
-        m = REFERENCE.match(value)
-        return [m[1]] if m else []
-    inner = value.values() if isinstance(value, dict) else value if isinstance(value, list) else []
-    return [r for v in inner for r in _references(v)]
+    found, stack = [], [value]
+    while stack:
+        v = stack.pop()
+        if isinstance(v, str):
+            m = REFERENCE.match(v)
+            found += [m[1]] if m else []
+        elif isinstance(v, dict):
+            stack += v.values()
+        elif isinstance(v, list):
+            stack += v
+    return found
 
 
 def _one_call(raw, schemas: dict) -> dict:
@@ -155,21 +169,35 @@ def _one_call(raw, schemas: dict) -> dict:
     elif not errors:
         errors += violations(arguments, schemas[name])
     return {
-        "id": None if call is None else str(call),
-        "name": name if isinstance(name, str) else None,
+        "id": None if call is None else _name(call),
+        "name": _escaped(name) if isinstance(name, str) else None,
         "arguments": canonical(arguments),
         "references": sorted(set(_references(arguments))),
-        "errors": errors,
+        "errors": [_escaped(e) for e in errors],
     }
 
 
+def _name(value) -> str:
+    """A call id as text; ids that are no strings are named by their JSON."""
+    return _escaped(value) if isinstance(value, str) else canonical(value)
+
+
 def parse_message(role: str | None, text: str | None, schemas: dict) -> dict:
     """Content, calls and answered call of a message.
 
     Calls come as ``<tool_call>{...}</tool_call>`` blocks or as a JSON object
     with ``tool_calls``; results as a message of role tool with a JSON object
-    that has ``tool_call_id``, or as a ``<tool_response>`` block of one.
+    that has ``tool_call_id``, or as a ``<tool_response>`` block of one.  A
+    message nested too deep to be read is content, with a problem.
     """
+    try:
+        return _parsed_message(role, text, schemas) | {"problems": []}
+    except RecursionError:
+        message = canonical({"role": role, "content": text})
+        return {"calls": [], "answers": None, "message": message, "problems": ["message: nested too deep"]}
+
+
+def _parsed_message(role: str | None, text: str | None, schemas: dict) -> dict:
     text = text or ""
     calls, answers, content = [], None, text
     whole = None
@@ -182,7 +210,7 @@ def parse_message(role: str | None, text: str | None, schemas: dict) -> dict:
         calls = [_one_call(c, schemas) for c in whole["tool_calls"]]
         content = whole.get("content") if isinstance(whole.get("content"), str) else ""
     elif isinstance(whole, dict) and whole.get("tool_call_id") is not None:
-        answers = str(whole["tool_call_id"])
+        answers = _name(whole["tool_call_id"])
         content = whole["content"] if isinstance(whole.get("content"), str) else canonical(whole.get("content"))
     elif "<tool_call>" in text:
         for m in _CALL.finditer(text):
@@ -198,7 +226,7 @@ def parse_message(role: str | None, text: str | None, schemas: dict) -> dict:
         except (ValueError, RecursionError):
             found = None
         if isinstance(found, dict) and found.get("tool_call_id") is not None:
-            answers = str(found["tool_call_id"])
+            answers = _name(found["tool_call_id"])
             content = found["content"] if isinstance(found.get("content"), str) else canonical(found.get("content"))
     message: dict = {"role": role, "content": content}
     if calls:
@@ -233,15 +261,16 @@ def _parsed(conversations: DataFrame, schemas: dict) -> DataFrame:
                     pa.array([f["calls"] for f in found], kind),
                     pa.array([f["answers"] for f in found], pa.string()),
                     pa.array([f["message"] for f in found], pa.string()),
+                    pa.array([f["problems"] for f in found], pa.list_(pa.string())),
                 ],
-                ["conv_id", "turn", "role", "calls", "answers", "message"],
+                ["conv_id", "turn", "role", "calls", "answers", "message", "problems"],
             )
 
     small_batches(conversations.sparkSession)
     rows = conversations.select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string"), F.col("text").cast("string")
     )
-    return rows.mapInArrow(run, f"conv_id long, turn long, role string, calls {_CALLS}, answers string, message string")
+    return rows.mapInArrow(run, f"conv_id long, turn long, role string, calls {_CALLS}, answers string, message string, problems array<string>")
 
 
 def _levels(nodes: DataFrame, needs: DataFrame) -> DataFrame:
@@ -251,30 +280,54 @@ def _levels(nodes: DataFrame, needs: DataFrame) -> DataFrame:
     turn, needed, result_turn.  Level is 0 without prerequisites, else one more
     than theirs, and null on or behind a cycle; place is the turn by which the
     message's own turn and all results it refers to are there.
+
+    A waiting row says level(turn) >= level(needed) + add and place(turn) >=
+    max(place(needed), floor); a message's level0 and place0 are the most that
+    is known from rows already met.  If ``needed`` waits for one message only,
+    the row is put past it, which doubles ``add`` along a chain.
     """
     key = ["conv_id", "turn"]
-    left = written(nodes.join(needs.select(*key).distinct(), key, "left_semi"))
-    done = nodes.join(left, key, "left_anti").withColumns({"level": F.lit(0), "place": F.col("turn")})
-    done = written(done)
-    level, n = 0, left.count()
-    while n:
-        waiting = needs.join(left.withColumnRenamed("turn", "needed"), ["conv_id", "needed"], "left_semi").select(*key).distinct()
-        level += 1
-        rest = written(left.join(waiting, key, "left_semi"))
-        m = rest.count()
-        if m == n:
-            return done.unionByName(rest.withColumns({"level": F.lit(None).cast("int"), "place": F.col("turn")}))
-        before = done.select("conv_id", F.col("turn").alias("needed"), F.col("place").alias("needed_place"))
-        ready = (
-            left.join(waiting, key, "left_anti")
-            .join(needs, key)
-            .join(before, ["conv_id", "needed"])
-            .groupBy(*key)
-            .agg(F.max(F.greatest("turn", "result_turn", "needed_place")).alias("place"))
+    floor = F.greatest("turn", F.coalesce("result_turn", "turn"))
+    rows = written(needs.withColumn("floor", floor).groupBy(*key, "needed").agg(F.max("floor").alias("floor")).withColumn("add", F.lit(1).cast("long")))
+    start = nodes.withColumns({"level0": F.lit(0).cast("long"), "place0": F.col("turn")})
+    ended = lambda df: df.select(*key, F.col("level0").cast("int").alias("level"), F.col("place0").alias("place"))
+    if rows.isEmpty():
+        return ended(start)
+    done = [written(ended(start.join(rows, key, "left_anti")))]
+    known = written(start.join(rows, key, "left_semi"))
+    while True:
+        # what the last messages that got a level settle
+        last = done[-1].select("conv_id", F.col("turn").alias("needed"), F.col("level").alias("n_level"), F.col("place").alias("n_place"))
+        met = written(rows.join(last, ["conv_id", "needed"], "left"))
+        gains = met.where("n_level is not null").select(*key, F.expr("n_level + add as level0"), F.greatest("n_place", "floor").alias("place0"))
+        waiting = met.where("n_level is null").select(*key, "needed", "add", "floor")
+        most = [F.max("level0").alias("level0"), F.max("place0").alias("place0")]
+        known = written(known.unionByName(gains).groupBy(*key).agg(*most))
+        ready = written(ended(known.join(waiting, key, "left_anti")))
+        if ready.isEmpty():
+            # what is left is on a cycle or behind one
+            cyclic = known.select(*key, F.lit(None).cast("int").alias("level"), F.col("turn").alias("place"))
+            done.append(cyclic)
+            break
+        done.append(ready)
+        known = written(known.join(waiting, key, "left_semi"))
+        if known.isEmpty():
+            break
+        single = waiting.groupBy(*key).agg(
+            F.count(F.lit(1)).alias("n"), F.max("needed").alias("past"), F.max("add").alias("past_add"), F.max("floor").alias("past_floor")
         )
-        done = done.unionByName(written(ready.select(*key, F.lit(level).alias("level"), "place")))
-        left, n = rest, m
-    return done
+        single = single.where("n = 1").join(known, key).withColumnRenamed("turn", "needed").drop("n")
+        jumped = written(waiting.join(single, ["conv_id", "needed"], "left"))
+        gains = jumped.where("past is not null").select(*key, F.expr("level0 + add as level0"), F.greatest("place0", "floor").alias("place0"))
+        known = written(known.unionByName(gains).groupBy(*key).agg(*most))
+        # around a cycle add only grows, far beyond any level
+        add = F.least(F.col("add") + F.coalesce("past_add", F.lit(0)), F.lit(1 << 40))
+        past = jumped.select(*key, F.coalesce("past", "needed").alias("needed"), add.alias("add"), F.greatest("floor", F.coalesce("past_floor", "floor")).alias("floor"))
+        rows = written(past.groupBy(*key, "needed").agg(F.max("add").alias("add"), F.max("floor").alias("floor")))
+    out = done[0]
+    for part in done[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def format_chats(conversations: DataFrame, schemas: dict[str, dict] | None = None) -> DataFrame:
@@ -291,7 +344,9 @@ def format_chats(conversations: DataFrame, schemas: dict[str, dict] | None = Non
     several calls of a conversation belongs to the earliest turn, the others
     have an error.  A result without call, and a call without result, stay and
     have an error.  Calls in a cycle keep their turn's place and have an error.
-    Text that is no valid call is content.  A null role is null in the JSON, a
+    Text that is no valid call is content, also if it is nested too deep to be
+    read, which is an error.  Lone surrogates of JSON escapes, which no text can
+    hold, stay escapes.  A null role is null in the JSON, a
     null text is an empty content.  Repeated rows are all returned.  An empty
     table gives no rows.  Other columns are ignored, whatever their names.
     """
@@ -353,6 +408,6 @@ def format_chats(conversations: DataFrame, schemas: dict[str, dict] | None = Non
         F.coalesce("n_answered", F.lit(0)).cast("long").alias("n_answered"),
         "answers",
         F.when(F.col("answers").isNotNull(), F.col("call_place").isNotNull()).alias("linked"),
-        F.array_join(F.array_sort(F.array_distinct(F.concat(parse_errors, F.coalesce("link_errors", none), lost))), "; ").alias("errors"),
+        F.array_join(F.array_sort(F.array_distinct(F.concat("problems", parse_errors, F.coalesce("link_errors", none), lost))), "; ").alias("errors"),
         "message",
     )

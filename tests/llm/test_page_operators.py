@@ -1,5 +1,6 @@
 """HTML extraction, URL filters, license scans, chats, entry points."""
 
+import functools
 import importlib
 import json
 import random
@@ -281,6 +282,114 @@ def test_chat_edge_cases(spark):
     assert chat.format_chats(df.limit(0)).count() == 0
 
 
+def plain_chats(rows):
+    """Links, levels and places by plain recursion over one conversation after another."""
+    parsed = [(c, t, chat.parse_message(r, x, chat.SCHEMAS)) for c, t, r, x in rows]
+    owner, results = {}, {}
+    for c, t, m in sorted(parsed, key=lambda r: r[1]):
+        for k in m["calls"]:
+            owner.setdefault((c, k["id"]), (t, k["references"]))
+        if m["answers"] is not None:
+            results[c, m["answers"]] = max(t, results.get((c, m["answers"]), t))
+    needs = defaultdict(set)
+    for (c, i), (t, refs) in owner.items():
+        needs[c, t] |= {(owner[c, r][0], results.get((c, r))) for r in refs if (c, r) in owner}
+
+    @functools.lru_cache(None)
+    def behind_cycle(c, t, path=()):
+        return t in path or any(behind_cycle(c, n, (*path, t)) for n, _ in needs.get((c, t), ()))
+
+    @functools.lru_cache(None)
+    def placed(c, t):
+        level, place = 0, t
+        for n, result in needs.get((c, t), ()):
+            a, b = placed(c, n)
+            level, place = max(level, a + 1), max(place, b, result if result is not None else t)
+        return level, place
+
+    out = set()
+    for c, t, m in parsed:
+        mine = [k["id"] for k in m["calls"] if owner[c, k["id"]][0] == t]
+        asked = owner.get((c, m["answers"]))
+        turns = [t] if mine else [asked[0]] if asked else []
+        level, place = 0, t
+        for own in turns:
+            a, b = (0, own) if behind_cycle(c, own) else placed(c, own)
+            level, place = a, max(place, b)
+        out.add((c, t, place, level, sum((c, i) in results for i in set(mine)), None if m["answers"] is None else asked is not None))
+    return out
+
+
+def tool_chats(rng, n, long):
+    """Conversations with calls that refer to others, lost results, unknown and repeated ids; one of them long."""
+    rows = []
+    for c in range(n):
+        turn, size = 0, long if c == 0 else rng.randrange(1, 9)
+        for i in range(size):
+            ids = [f"k{j}" for j in range(size)]
+            refs = rng.sample(ids, rng.choice([0, 0, 1, 1, 2]) if size > 2 else 0)
+            if c % 3:
+                refs = [r for r in refs if int(r[1:]) < i]
+            name = f"k{i}" if rng.random() < 0.9 else f"k{rng.randrange(size)}"
+            rows.append((c, turn, "assistant", call(name, "calculate", op="add", args=[f"${r}" for r in refs])))
+            turn += 1
+            if rng.random() < 0.8:
+                rows.append((c, turn, "tool", result(name if rng.random() < 0.9 else "lost")))
+                turn += 1
+    return rows
+
+
+def test_chats_like_brute_force_and_sql(spark):
+    import duckdb
+
+    rng = random.Random(21)
+    rows = tool_chats(rng, 40, 60)
+    rows += rows[5:9]
+    df = chats(spark, rows)
+    got = chat.format_chats(df).collect()
+    assert len(got) == len(rows)
+    assert {(r.conv_id, r.turn, r.place_turn, r.place_level, r.n_answered, r.linked) for r in got} == plain_chats(rows)
+    # the links in SQL
+    con = duckdb.connect()
+    con.execute("CREATE TABLE m (conv_id BIGINT, turn BIGINT, role TEXT, text TEXT)")
+    con.executemany("INSERT INTO m VALUES (?, ?, ?, ?)", rows)
+    sql = """
+      WITH calls AS (SELECT conv_id, json_extract_string(regexp_extract(text, '<tool_call>(.*)</tool_call>', 1), '$.id') AS id FROM m WHERE contains(text, '<tool_call>')),
+      results AS (SELECT conv_id, turn, json_extract_string(text, '$.tool_call_id') AS id FROM m WHERE role = 'tool')
+      SELECT conv_id, turn, id, EXISTS (SELECT 1 FROM calls c WHERE c.conv_id = r.conv_id AND c.id = r.id) FROM results r
+    """
+    want = sorted(con.execute(sql).fetchall())
+    assert sorted((r.conv_id, r.turn, r.answers, r.linked) for r in got if r.answers is not None) == want
+
+
+def test_a_long_chain_of_calls(spark):
+    """Three hundred calls, each waiting for the one before: rounds are logarithmic."""
+    n = 300
+    rows = [(7, i, "assistant", call(f"c{i}", "calculate", op="add", args=[f"$c{i - 1}"] if i else [])) for i in range(n)]
+    got = {r.turn: r.place_level for r in chat.format_chats(chats(spark, rows)).collect()}
+    assert got == {i: i for i in range(n)}
+
+
+def test_surrogates_and_deep_nesting(spark):
+    deep = lambda n: "[" * n + "]" * n
+    texts = [
+        '{"tool_call_id":"1","content":"\\ud800"}',
+        '<tool_call>{"id":"\\udc00","name":"search","arguments":{"query":"a\\ud800"}}</tool_call>',
+        '{"tool_calls":[{"id":"d","name":"calculate","arguments":{"op":"add","args":%s}}]}' % deep(1500),
+        '{"tool_calls":[{"id":"e","name":"search","arguments":%s}]}' % deep(100_000),
+        '<tool_call>{"id":"f","name":"calculate","arguments":{"op":"add","args":%s}}</tool_call>' % deep(1500),
+        deep(200_000),
+    ]
+    got = {r.turn: r for r in chat.format_chats(chats(spark, [(1, i, "assistant", t) for i, t in enumerate(texts)])).collect()}
+    assert len(got) == len(texts)
+    assert json.loads(got[0].message)["content"] == "\ud800" and "\\ud800" in got[0].message and not got[0].linked
+    assert got[1].errors == "no result for \\udc00" and '"query":"a\\ud800"' in got[1].message
+    for i, name in ((2, "d"), (4, "f")):
+        assert got[i].errors in (f"no result for {name}", "message: nested too deep")
+    assert json.loads(got[3].message)["content"] == texts[3] and got[3].n_calls == 0
+    assert json.loads(got[5].message)["content"] == texts[5]
+
+
 def test_open_ai_form_and_schemas():
     text = json.dumps({"content": None, "tool_calls": [{"id": 5, "type": "function", "function": {"name": "calculate", "arguments": '{"op":"pow","args":"no"}'}}]})
     m = chat.parse_message("assistant", text, chat.SCHEMAS)
