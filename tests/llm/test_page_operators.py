@@ -45,6 +45,54 @@ def test_hosts_agree_on_a_container(spark):
     assert all(r.n_chars == len(r.text) for r in got.values())
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<article><h1 class='entry-header'>T</h1><p>a</p></article>", "T\n\na"),
+        ("<article><div class='notice-board'><p>a</p></div><section class='search-results-analysis'><p>b</p></section></article>", "a\n\nb"),
+        ("<article><p>the sum <math><mi>x</mi></math> is</p></article>", "the sum x is"),
+        ("<article><noscript><img src=x><p>a</p><p>b</p></article>", "a\n\nb"),
+        ("<article><noscript>no</noscript><p>a</p><iframe src=y><p>b</p></article>", "a\n\nb"),
+        ("<article><p>a<svg><g><svg><text>n</text></svg><text>n</text></g></svg> b</p><svg><p>c</p></article>", "a b\n\nc"),
+        ("<article><template><p>n</p></template><div hidden><p>a</p></div><p aria-hidden=true style='display:none'>b</p></article>", "a\n\nb"),
+        ("<article><p>a</p><div class='ad'>n</div><div class='ad-slot-3'>n</div><div id='related-links'>n</div><div class='post-comments'>n</div><div class='cookie-notice'>n</div></article>", "a"),
+        ("<body><div class='content'><h1>T</h1><p>the introduction</p><div class='body'><p>most of the text is here</p></div></div></body>", "T\n\nthe introduction\n\nmost of the text is here"),
+        ("<article><header>n</header><p>a</p><footer>n</footer><form>n</form><aside>n</aside></article>", "a"),
+    ],
+)
+def test_only_furniture_is_dropped(page, text):
+    assert html_text.text_of(page, []) == text
+
+
+def made_page(rng, host, number):
+    """A page of one of three host layouts, and its article as it was put in."""
+    word = lambda: "".join(rng.choices("abcdefghijklmno", k=rng.randrange(2, 9)))
+    line = lambda: " ".join(word() for _ in range(rng.randrange(3, 30))).capitalize() + rng.choice([".", " & co.", " 1 < 2."])
+    article = [line() for _ in range(rng.randrange(1, 8))]
+    coded = [html_text.html.escape(x).replace(" ", rng.choice([" ", "\n ", "&#32;", " <i></i>"])) for x in article]
+    inner = f"<h1>{coded[0]}</h1>" + "".join(f"<p>{x}{rng.choice(['</p>', ''])}" for x in coded[1:])
+    inner += rng.choice(["", f"<div class=ad>{line()}</div>", f"<aside>{line()}</aside>", "<script>if (a < b) x('</p>')</script>", f"<ul class='share-buttons'><li>{word()}</ul>"])
+    around = f"<p>All content of host {host} is free to read by anyone.</p>"
+    body = [
+        f"<nav>{line()}</nav><article>{inner}</article><div>{around}</div><footer>{line()}</footer>",
+        f"<div class='top menu'>{line()}</div><div class='story n{number}'>{inner}</div><div class='end'>{around}</div>",
+        f"<header>{line()}</header><div class='page'><div class='text'>{inner}</div><section class='comments'><p>{line()}</p></section></div><div>{around}</div>",
+    ][host % 3]
+    return f"<html><head><title>{word()}</title><style>p {{}}</style></head><body>{body}</body></html>", "\n\n".join(article)
+
+
+def test_made_pages_give_their_articles(spark):
+    rng = random.Random(31)
+    rows, want = [], {}
+    for i in range(120):
+        host = rng.choice([0, 0, 0, 1, 2])
+        page, want[i] = made_page(rng, host, i)
+        rows.append((i, f"https://h{host}.example/{i}", page))
+    got = {r.page_id: r for r in html_text.extract(pages(spark, rows)).collect()}
+    assert {i: r.text for i, r in got.items()} == want
+    assert all(r.n_chars == len(r.text) for r in got.values())
+
+
 def test_extraction_edge_cases(spark):
     rows = [(None, None, None), (1, None, "<p>a</p>"), (1, None, "<p>a</p>"), (2, "x", ""), (3, "http://h/", "<p>" + "word " * 50_000)]
     df = pages(spark, rows).selectExpr("*", "1 as text", "2 as host", "3 as paths")
