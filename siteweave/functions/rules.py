@@ -174,3 +174,10 @@ COOKIE_CONTEXT_TOKENS = ["cookie", "consent", "privacy"]
 # Sitemaps.
 SITEMAP_FALLBACKS = ["/sitemap.xml", "/sitemap_index.xml", "/sitemap-index.xml", "/sitemaps/sitemap.xml"]
 SITEMAP_CAP, SITEMAP_DEPTH = 200, 5
+
+# Advice after a crawl.
+ADVICE = {
+    "failures": "High failure rate. Check anti-bot settings or proxy health.",
+    "low_gain": "Low information gain. Consider more diverse seeds or higher depth.",
+    "none": "Continue current strategy.",
+}

@@ -104,3 +104,23 @@ def reduction_report(runs: DataFrame) -> DataFrame:
     return runs.select(
         "site", F.round(pages, 1).alias("page_reduction"), F.round(saved("base_s", "s"), 1).alias("time_reduction"), tpl.alias("template_gain"), outcome.alias("outcome")
     )
+
+
+def efficiency_report(runs: DataFrame) -> DataFrame:
+    """Savings of one crawl against a plain one: site, base_ and own pages, requests and bytes.
+
+    PASS saves pages, SAME needs as many, WEAK needs more; efficiency is the
+    mean of the three savings in percent.
+    """
+    saved = lambda k: F.coalesce(F.try_divide((F.col(f"base_{k}") - F.col(k)) * 100.0, F.col(f"base_{k}")), F.lit(0.0))
+    pages, asked, sent = saved("pages"), saved("requests"), saved("bytes")
+    outcome = F.when(pages > 0, "PASS").when(pages == 0, "SAME").otherwise("WEAK")
+    return runs.select(
+        "site", F.round(pages, 1).alias("page_saving"), F.round(asked, 1).alias("request_saving"), F.round(sent, 1).alias("bandwidth_saving"),
+        F.round((pages + asked + sent) / 3, 1).alias("efficiency"), outcome.alias("outcome"),
+    )
+
+
+def mean_efficiency(report: DataFrame) -> DataFrame:
+    """The one row of a report's mean efficiency, 0 without sites."""
+    return report.agg(F.round(F.coalesce(F.avg("efficiency"), F.lit(0.0)), 1).alias("mean_efficiency"))

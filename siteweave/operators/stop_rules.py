@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import urls
+from ..functions import rules, urls
 
 
 def info_gain(log: DataFrame, window: int = 3, threshold: float = 0.05, min_pages: int = 4) -> DataFrame:
@@ -83,8 +83,8 @@ def reflection(crawls: DataFrame) -> DataFrame:
     efficiency = urls.safe_ratio(F.col("unique_signals"), F.col("pages_crawled"))
     failed = urls.safe_ratio(F.col("pages_failed"), F.col("pages_crawled"))
     advice = (
-        F.when(failed > 0.2, "High failure rate. Check anti-bot settings or proxy health.")
-        .when((efficiency < 0.1) & (F.col("pages_crawled") > 5), "Low information gain. Consider more diverse seeds or higher depth.")
-        .otherwise("Continue current strategy.")
+        F.when(failed > 0.2, rules.ADVICE["failures"])
+        .when((efficiency < 0.1) & (F.col("pages_crawled") > 5), rules.ADVICE["low_gain"])
+        .otherwise(rules.ADVICE["none"])
     )
     return crawls.withColumns({"intelligence_score": F.round(efficiency, 3), "failure_rate": F.round(failed, 3), "advice": advice})

@@ -50,9 +50,9 @@ def failure_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixture(spark, sf_dir, "failures").select("id", _reason().alias("reason"))
 
 
-@query(f"SELECT id, reason, {_ACTION} AS action, {_SEVERITY} AS severity, {_MESSAGE} || ' (' || http_status || ')' AS message FROM (SELECT id, http_status, {_REASON} AS reason FROM {_DIRECTIVES}) WHERE http_status IS NOT NULL")
+@query(f"SELECT id, reason, {_ACTION} AS action, {_SEVERITY} AS severity, {_MESSAGE} || coalesce(' (' || http_status || ')', '') AS message FROM (SELECT id, http_status, {_REASON} AS reason FROM {_DIRECTIVES})")
 def failure_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fixture(spark, sf_dir, "failures").where("http_status is not null").withColumn("reason", _reason())
+    rows = fixture(spark, sf_dir, "failures").withColumn("reason", _reason())
     r = F.col("reason")
     return rows.select(
         "id", "reason", failures.adaptive_action(r).alias("action"), failures.failure_severity(r).alias("severity"), failures.reason_message(r, F.col("http_status").cast("string")).alias("message")
@@ -213,9 +213,19 @@ UNION ALL SELECT 'timeout_rate', '', round(avg(timeout::INT), 6) FROM e UNION AL
 UNION ALL SELECT 'enrichment_fallback_rate', '', round(avg(fallback_rate), 6) FROM e UNION ALL SELECT 'enrichment_completion_rate', '', round(avg((enrichment_status = 'complete')::INT), 6) FROM e"""
 
 
+_TIER = "CASE event_id % 4 WHEN 0 THEN 'page' WHEN 1 THEN 'dom' WHEN 2 THEN 'llm' ELSE 'fix' END"
+_METRICS += f"""
+UNION ALL SELECT 'cache_hit_rate', {_TIER}, round(count(*) FILTER (user_id % 3 <> 0) / count(*), 6) FROM events GROUP BY 2
+UNION ALL SELECT 'crawler_sitemap_success_rate', '', 0.75 UNION ALL SELECT 'crawler_discovery_fallback_rate', '', 0.0"""
+
+
 @query(_METRICS)
 def prometheus_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return telemetry.metrics(fixture(spark, sf_dir, "audit_events"))
+    i = F.col("event_id")
+    tier = F.element_at(F.array(*map(F.lit, telemetry.TIERS)), (i % 4 + 1).cast("int"))
+    kind = F.when(F.col("user_id") % 3 != 0, "_hits").otherwise("_misses")
+    counters = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.concat(tier, kind).alias("name"), F.lit(1).alias("value"))
+    return telemetry.metrics(fixture(spark, sf_dir, "audit_events"), counters=counters, gauges={"crawler_sitemap_success_rate": 0.75})
 
 
 @query(f"SELECT event_id, count(*) OVER (ORDER BY ts RANGE BETWEEN INTERVAL 600 SECONDS PRECEDING AND CURRENT ROW)::BIGINT AS failures FROM {EV} WHERE timeout")
@@ -223,23 +233,52 @@ def llm_failure_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telemetry.bursts(fixture(spark, sf_dir, "audit_events"), 600)
 
 
-@query(f"""SELECT a.*, critical::BIGINT AS critical_issues, major::BIGINT AS major_issues, minor::BIGINT AS minor_issues, llm, llm_cache, fix_cache, rule_fallback, other, fallback_rate, p50 AS priority_p50, p95 AS priority_p95, issue_type AS top_issue_type FROM (
-  SELECT s_suppkey AS site, 'https://s' || s_suppkey || '.example.com/' AS url, CASE s_suppkey % 3 WHEN 0 THEN 'fast' WHEN 1 THEN 'deep' ELSE 'max' END AS scan_mode, s_acctbal / 100 AS seconds,
-    s_suppkey % 10 = 0 OR s_suppkey % 4 = 1 AS timeout, trunc(s_acctbal / 100 * 1000)::BIGINT AS total_duration_ms, CASE s_suppkey % 5 WHEN 0 THEN 'render_timeout' WHEN 1 THEN 'connectivity_blocked' ELSE '' END AS reason FROM supplier) a
-  LEFT JOIN ({ORACLES['severity_breakdown']}) b USING (site) LEFT JOIN ({ORACLES['enrichment_breakdown']}) c USING (site) LEFT JOIN (SELECT site, p50, p95 FROM ({ORACLES['priority_distribution']})) d USING (site)
-  LEFT JOIN (SELECT site, issue_type FROM ({ORACLES['top_issue_types']}) WHERE rank = 1) t USING (site)""")
+@query(f"""SELECT a.*, site_score AS shown_score, total_issues AS issue_count, critical::BIGINT AS critical_issues, major::BIGINT AS major_issues, minor::BIGINT AS minor_issues, llm, llm_cache, fix_cache, rule_fallback, other, fallback_rate AS enrichment_fallback_rate,
+  d.min AS priority_min, p50 AS priority_p50, p95 AS priority_p95, d.max AS priority_max, d.avg AS priority_avg, top_issue_types FROM (
+  SELECT s_suppkey AS site, 'a' || s_suppkey AS audit_id, 'audit' AS event_type, CASE WHEN s_suppkey % 9 = 0 THEN 'failed' ELSE 'completed' END AS status, 'https://s' || s_suppkey || '.example.com/' AS url,
+    CASE s_suppkey % 4 WHEN 0 THEN 'fast' WHEN 1 THEN 'deep' WHEN 2 THEN 'max' ELSE 'fast' END AS scan_mode, greatest(1, s_suppkey % 7)::INT AS pages_discovered, greatest(1, s_suppkey % 5)::INT AS pages_audited,
+    s_acctbal / 100 AS scan_time_seconds, trunc(s_acctbal / 100 * 1000)::BIGINT AS total_duration_ms, s_suppkey % 3 = 0 AS degraded_mode,
+    s_suppkey % 10 = 0 OR s_suppkey % 4 = 1 AS timeout, (s_suppkey % 101)::DOUBLE AS site_score, CASE WHEN s_suppkey % 2 = 0 AND s_suppkey % 50 <> 0 THEN (s_suppkey % 50)::DOUBLE ELSE (s_suppkey % 101)::DOUBLE END AS overall_score,
+    s_suppkey % 13 AS total_issues, CASE WHEN s_suppkey % 5 = 0 THEN 'render_timeout' WHEN s_suppkey % 5 = 1 THEN 'connectivity_blocked' WHEN s_suppkey % 3 <> 0 THEN '' WHEN s_suppkey % 5 = 2 THEN 'rate_limited' ELSE 'engine_error' END AS degraded_reason,
+    CASE WHEN s_suppkey % 8 = 0 THEN 'partial' ELSE 'complete' END AS enrichment_status, CASE WHEN s_suppkey % 2 = 0 THEN 'dom,rules' ELSE '' END AS engines_used,
+    CASE WHEN s_suppkey % 4 = 1 THEN 'false' ELSE 'true' END AS runtime_passed, s_suppkey % 6 AS page_hits FROM supplier) a
+  LEFT JOIN ({ORACLES['severity_breakdown']}) b USING (site) LEFT JOIN ({ORACLES['enrichment_breakdown']}) c USING (site) LEFT JOIN ({ORACLES['priority_distribution']}) d USING (site)
+  LEFT JOIN (SELECT site, string_agg(issue_type || ':' || count, ',' ORDER BY rank) AS top_issue_types FROM ({ORACLES['top_issue_types']}) GROUP BY site) t USING (site)""")
 def audit_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("s_suppkey")
     results = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(
         k.alias("site"),
+        F.concat(F.lit("a"), k).alias("audit_id"),
+        F.when(k % 9 == 0, "failed").alias("status"),
         F.concat(F.lit("https://s"), k, F.lit(".example.com/")).alias("url"),
-        F.when(k % 3 == 0, "fast").when(k % 3 == 1, "deep").otherwise("max").alias("scan_mode"),
+        F.when(k % 4 == 0, "fast").when(k % 4 == 1, "deep").when(k % 4 == 2, "max").otherwise("").alias("scan_mode"),
+        (k % 7).alias("pages_discovered"),
+        (k % 5).alias("pages_audited"),
         (F.col("s_acctbal") / 100).alias("seconds"),
+        (k % 3 == 0).alias("degraded_mode"),
+        (k % 101).alias("score"),
+        F.when(k % 2 == 0, k % 50).alias("overall_score"),
+        (k % 13).alias("total_issues"),
+        F.when(k % 8 == 0, "partial").alias("enrichment_status"),
+        F.when(k % 2 == 0, F.array(F.lit("dom"), F.lit("rules"))).alias("engines_used"),
+        F.create_map(F.lit("runtime_passed"), k % 4 != 1).alias("quality_gates"),
+        F.create_map(F.lit("page_hits"), k % 6).alias("cache_counters"),
         F.when(k % 10 == 0, "Audit timed out early").otherwise("done").alias("summary"),
-        (k % 4 != 1).alias("runtime_passed"),
         F.when(k % 5 == 0, "browser timeout").when(k % 5 == 1, "dns_error").alias("degraded_reason"),
+        F.when(k % 5 == 2, "status code 429").alias("degradation_reason"),
     )
-    return telemetry.audit_events(results, _signals(spark, sf_dir))
+    rows = telemetry.audit_events(results, _signals(spark, sf_dir)).drop("timestamp", "overall_score_distribution")
+    shown = F.transform("top_issue_types", lambda t: F.concat(t["issue_type"], F.lit(":"), t["count"]))
+    return rows.withColumns(
+        {
+            "shown_score": F.col("score_distribution.overall_score"),
+            "issue_count": F.col("score_distribution.issue_count"),
+            "top_issue_types": F.when(F.size("top_issue_types") > 0, F.array_join(shown, ",")),
+            "engines_used": F.array_join("engines_used", ","),
+            "runtime_passed": F.element_at("quality_gates", "runtime_passed").cast("string"),
+            "page_hits": F.element_at("cache_counters", "page_hits"),
+        }
+    ).drop("score_distribution", "quality_gates", "cache_counters")
 
 
 # stop rules ---------------------------------------------------------------------
@@ -276,7 +315,7 @@ def adaptive_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""SELECT site, pages_crawled, unique_signals, pages_failed, round(unique_signals / pages_crawled, 3) AS intelligence_score, round(pages_failed / pages_crawled, 3) AS failure_rate,
-  CASE WHEN pages_failed / pages_crawled > 0.2 THEN 'High failure rate. Check anti-bot settings or proxy health.' WHEN unique_signals / pages_crawled < 0.1 AND pages_crawled > 5 THEN 'Low information gain. Consider more diverse seeds or higher depth.' ELSE 'Continue current strategy.' END AS advice
+  CASE WHEN pages_failed / pages_crawled > 0.2 THEN {q.text(rules.ADVICE['failures'])} WHEN unique_signals / pages_crawled < 0.1 AND pages_crawled > 5 THEN {q.text(rules.ADVICE['low_gain'])} ELSE {q.text(rules.ADVICE['none'])} END AS advice
   FROM (SELECT site, count(*)::BIGINT AS pages_crawled, count(DISTINCT signal) FILTER (fetch_status = 'success')::BIGINT AS unique_signals, count(*) FILTER (fetch_status <> 'success')::BIGINT AS pages_failed FROM {LOG} GROUP BY site)""")
 def crawl_reflection(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = F.col("fetch_status") == "success"

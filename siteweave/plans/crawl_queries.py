@@ -32,7 +32,7 @@ def query(oracle: str | None = None):
 
 # discovery ----------------------------------------------------------------------
 
-_FOUND = f"""(SELECT url, 'sitemap' AS source, CAST(id % 4 AS INT) AS depth, CAST(id % 10 AS DOUBLE) / 10 AS priority FROM {duck('all_urls')} WHERE id % 3 <> 0
+_FOUND = f"""(SELECT url, 'sitemap' AS source, CAST(id % 4 AS INT) AS depth, CAST(id % 10 AS DOUBLE) / 10 AS priority FROM {duck('all_urls')}
   UNION ALL SELECT url, 'discovery', CAST(id % 5 AS INT), CAST(0.9 AS DOUBLE) FROM {duck('all_urls')} WHERE id % 2 = 0
   UNION ALL SELECT url, 'dom', 0, CAST(0.9 AS DOUBLE) FROM {duck('all_urls')} WHERE id % 5 = 0
   UNION ALL SELECT 'https://' || site || '/login', 'dom', 1, CAST(0.5 AS DOUBLE) FROM {duck('page_urls')} WHERE pos % 2 = 0
@@ -46,7 +46,7 @@ def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, p = fixture(spark, sf_dir, "all_urls"), fixture(spark, sf_dir, "page_urls")
     i, half = F.col("id"), F.lit(0.9)
     part = lambda df, url, source, depth, priority: df.select(url.alias("url"), F.lit(source).alias("source"), depth.cast("int").alias("depth"), priority.alias("priority"))
-    out = part(a.where("id % 3 <> 0"), F.col("url"), "sitemap", i % 4, (i % 10).cast("double") / 10)
+    out = part(a, F.col("url"), "sitemap", i % 4, (i % 10).cast("double") / 10)
     out = out.unionByName(part(a.where("id % 2 = 0"), F.col("url"), "discovery", i % 5, half))
     out = out.unionByName(part(a.where("id % 5 = 0"), F.col("url"), "dom", F.lit(0), half))
     site = F.concat(F.lit("https://"), "site")

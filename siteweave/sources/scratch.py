@@ -11,9 +11,15 @@ DIR_KEY = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's own checkpoint folder; one is made where none is set, as in tests."""
+    """The cluster's own checkpoint folder; one is made where none is set, as in tests.
+
+    A cluster without that setting is an error: its machines share no other folder.
+    """
     found = spark.conf.get(DIR_KEY, None) or spark.sparkContext.getConf().get(DIR_KEY)
     if not found:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"set {DIR_KEY} to a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='siteweave-')}"
         spark.conf.set(DIR_KEY, found)
     return found.rstrip("/")
