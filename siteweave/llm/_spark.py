@@ -25,6 +25,14 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(BYTES_KEY, str(BATCH_BYTES))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def _state(edges: DataFrame) -> tuple:
     row = edges.agg(
         F.count(F.lit(1)).alias("n"),

@@ -11,10 +11,11 @@ Method
   3. Star pairs pass a joint likelihood test on their registers and known set
      sizes, then the exact test on their full sets.
   4. Buckets that the stars have not joined into one component may hide links
-     between other members.  Members of each group of touching buckets are dealt into
-     blocks of bounded size, and block pairs that span components are swept:
-     same band test, same likelihood test, same exact test.  A task returns
-     only the links of a spanning forest.
+     between other members.  The members of each such bucket, without its
+     smallest node, are dealt into blocks of bounded size, and block pairs that
+     span components are swept: same likelihood test, same exact test.  A pair
+     that shares several bands is looked at in the first of them only.  A task
+     returns only the links of a spanning forest.
   5. Components of the confirmed links are found by star contraction.
 """
 
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import components, small_batches, written
+from ._spark import components, free_name, small_batches, written
 from ._words import U64, Words, chunks, constants, shingle_hashes, text_buffer
 
 BANDS, ROWS = 32, 5
@@ -41,6 +42,8 @@ BASE, RATE, TOP = 1.001, 20.0, 65535
 MARGIN = 16.0
 #: Nodes of one component or of small ones in a block of the sweep.
 BLOCK = 256
+#: Rows of small block pairs that are swept together.
+TOGETHER = 512
 
 _FACTORS = constants(REGISTERS, 21, odd=True)
 _BLOCK_OF_SHINGLES = 512
@@ -161,11 +164,13 @@ def _confirmed(pairs: DataFrame, percent: int) -> DataFrame:
 
 
 def _sweep(table: pa.Table, percent: int) -> pa.Table:
-    """Links of a spanning forest between the components of one pair of blocks."""
-    nodes = table.column("node").to_pylist()
-    sketches = _u16(table.column("sketch"))
-    sizes = table.column("n_shingles").to_numpy()
-    sets = [np.frombuffer(x, U64) for x in table.column("members").to_pylist()]
+    """Links of a spanning forest between the components of the block pairs in ``table``."""
+    order = np.argsort(table.column("pair").to_numpy(), kind="stable")
+    table = table.take(pa.array(order))
+    pair = table.column("pair").to_numpy()
+    nodes, labels = table.column("node").to_pylist(), table.column("component").to_pylist()
+    sketches, sizes, band = _u16(table.column("sketch")), table.column("n_shingles").to_numpy(), table.column("band").to_numpy()
+    members = table.column("members")
     parent: dict = {}
 
     def find(x):
@@ -174,70 +179,77 @@ def _sweep(table: pa.Table, percent: int) -> pa.Table:
             x = parent[x]
         return x
 
-    labels = table.column("component").to_pylist()
     out_a, out_b = [], []
-    for i in range(len(nodes) - 1):
-        roots = np.array([find(x) for x in labels[i + 1 :]])
-        other = np.flatnonzero(roots != find(labels[i])) + i + 1
-        if not len(other):
-            continue
-        same = sketches[other] == sketches[i]
-        other_hit = same.reshape(len(other), BANDS, ROWS).all(2).any(1)
-        other, same = other[other_hit], same[other_hit]
-        if not len(other):
-            continue
-        more = (sketches[i] > sketches[other]).sum(1)
-        less = (sketches[i] < sketches[other]).sum(1)
-        fits = plausible(more, less, np.full(len(other), sizes[i]), sizes[other], percent)
-        for j in other[fits]:
-            x, y = find(labels[i]), find(labels[j])
-            if x != y and linked(sets[i], sets[j], percent):
-                parent[max(x, y)] = min(x, y)
-                out_a.append(nodes[i])
-                out_b.append(nodes[j])
+    ends = [*np.flatnonzero(pair[1:] != pair[:-1]) + 1, len(pair)]
+    first = 0
+    for end in ends:
+        for i in range(first, end - 1):
+            root = find(labels[i])
+            other = np.array([j for j in range(i + 1, end) if find(labels[j]) != root], np.int64)
+            if not len(other):
+                continue
+            alike = (sketches[other] == sketches[i]).reshape(len(other), BANDS, ROWS).all(2)
+            # the band of this bucket is the first that they share
+            other = other[alike.argmax(1) == band[i]]
+            if not len(other):
+                continue
+            more = (sketches[i] > sketches[other]).sum(1)
+            less = (sketches[i] < sketches[other]).sum(1)
+            fits = plausible(more, less, np.full(len(other), sizes[i]), sizes[other], percent)
+            for j in other[fits].tolist():
+                x, y = find(labels[i]), find(labels[j])
+                if x != y and linked(np.frombuffer(members[i].as_py(), U64), np.frombuffer(members[j].as_py(), U64), percent):
+                    parent[max(x, y)] = min(x, y)
+                    out_a.append(nodes[i])
+                    out_b.append(nodes[j])
+        first = end
     return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
 
 
-def _swept(groups: DataFrame, labels: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links that the stars missed, from blocks of the groups still in parts."""
-    members = groups.join(labels, "node", "left").select("node", "grp", F.coalesce("component", "node").alias("component"))
-    members = written(members)
-    open_groups = (
-        members.groupBy("grp")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-        .where("n > 2 and lo <> hi")
-        .select("grp")
-    )
-    inside = members.join(open_groups, "grp", "left_semi")
-    parts = inside.groupBy("grp", "component").agg(F.count(F.lit(1)).alias("n"))
+def _to_sweep(bands: DataFrame, hubs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(pair, band, node, component): the block pairs of buckets that are still in parts."""
+    # of two nodes one is the hub, and its pairs are judged
+    large = hubs.where("n > 2").select("bucket", "a")
+    members = bands.join(large, "bucket").where("node <> a").select("bucket", "band", "node")
+    members = written(members.join(labels, "node", "left").select("bucket", "band", "node", F.coalesce("component", "node").alias("component")))
+    still = members.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
+    inside = members.join(still, "bucket", "left_semi")
+    parts = inside.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
     # large components have blocks of their own, the small ones share blocks
     parts = parts.withColumn("own", F.when(F.col("n") >= BLOCK, F.col("component")))
-    shares = parts.groupBy("grp", "own").agg(F.sum("n").alias("n")).withColumn("blocks", F.ceil(F.col("n") / BLOCK))
+    shares = parts.groupBy("bucket", "own").agg(F.sum("n").alias("n")).withColumn("blocks", F.ceil(F.col("n") / BLOCK))
+    same = F.col("bucket").eqNullSafe(F.col("g")) & F.col("own").eqNullSafe(F.col("o"))
     dealt = (
-        inside.join(parts.drop("n"), ["grp", "component"])
-        .join(shares.drop("n").withColumnRenamed("grp", "g").withColumnRenamed("own", "o"), F.col("grp").eqNullSafe(F.col("g")) & F.col("own").eqNullSafe(F.col("o")))
+        inside.join(parts.drop("n"), ["bucket", "component"])
+        .join(shares.drop("n").withColumnsRenamed({"bucket": "g", "own": "o"}), same)
         .withColumn("slot", F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")))
-        .select("grp", "node", "component", F.coalesce("own", F.lit(-1)).alias("own"), F.col("own").isNull().alias("mixed"), "slot")
+        .select("bucket", "band", "node", "component", F.coalesce("own", F.lit(-1)).alias("own"), F.col("own").isNull().alias("mixed"), "slot")
     )
     dealt = written(dealt)
-    blocks = dealt.select("grp", "own", "mixed", "slot").distinct()
-    first, second = blocks.toDF("grp", "own", "mixed", "slot"), blocks.toDF("grp", "own2", "mixed2", "slot2")
-    both = first.join(second, "grp").where(
+    blocks = dealt.select("bucket", "own", "mixed", "slot").distinct()
+    first, second = blocks, blocks.toDF("bucket", "own2", "mixed2", "slot2")
+    both = first.join(second, "bucket").where(
         # each unordered pair of blocks once, and none inside one component
         "struct(mixed, own, slot) <= struct(mixed2, own2, slot2) and (mixed or mixed2 or own <> own2)"
     )
-    both = both.withColumn("pair", F.xxhash64("grp", "own", "mixed", "slot", "own2", "mixed2", "slot2"))
-    ends = both.select("pair", "grp", "own", "mixed", "slot").unionByName(
-        both.select("pair", "grp", F.col("own2").alias("own"), F.col("mixed2").alias("mixed"), F.col("slot2").alias("slot"))
+    both = both.withColumn("pair", F.xxhash64("bucket", "own", "mixed", "slot", "own2", "mixed2", "slot2"))
+    ends = both.select("pair", "bucket", "own", "mixed", "slot").unionByName(
+        both.select("pair", "bucket", F.col("own2").alias("own"), F.col("mixed2").alias("mixed"), F.col("slot2").alias("slot"))
     ).distinct()
-    rows = (
-        dealt.join(ends, ["grp", "own", "mixed", "slot"])
-        .select("pair", "node", "component")
-        .join(nodes.select("node", "n_shingles", "sketch"), "node")
+    return dealt.join(ends, ["bucket", "own", "mixed", "slot"]).select("pair", "band", "node", "component")
+
+
+def _swept(rows: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links that the stars missed, from the block pairs of ``_to_sweep``."""
+    rows = written(rows)
+    # small block pairs are swept together, about TOGETHER rows in a task's group
+    groups = max(1, rows.count() // TOGETHER)
+    full = (
+        rows.join(nodes.select("node", "n_shingles", "sketch"), "node")
         .join(sets, "node")
-        .select("pair", "node", "component", "n_shingles", "sketch", "members")
+        .select(F.pmod("pair", F.lit(groups)).alias("grp"), "pair", "band", "node", "component", "n_shingles", "sketch", "members")
     )
-    return rows.groupBy("pair").applyInArrow(lambda table: _sweep(table, percent), "a long, b long")
+    return full.groupBy("grp").applyInArrow(lambda table: _sweep(table, percent), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -266,15 +278,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         .agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
     )
     width = 2 * ROWS
-    bands = nodes.select(
-        "node",
-        F.explode(F.array(*[F.xxhash64(F.lit(i), F.substring("sketch", i * width + 1, width)) for i in range(BANDS)])).alias("bucket"),
-    )
+    bucket = [F.xxhash64(F.lit(i), F.substring("sketch", i * width + 1, width)) for i in range(BANDS)]
+    bands = nodes.select("node", F.posexplode(F.array(*bucket)).alias("band", "bucket"))
     # written, so that the join below reads both sides through plain exchanges and a hot bucket can be split
-    hubs = written(bands.groupBy("bucket").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("bucket", "a"))
-    stars = written(bands.join(hubs, "bucket").where("node <> a").select("a", F.col("node").alias("b")).distinct())
-    groups = written(components(stars).withColumnRenamed("component", "grp"))
-    met = groups.select("node")
+    hubs = bands.groupBy("bucket").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n"))
+    hubs = written(hubs.where("n > 1"))
+    stars = written(bands.join(hubs.select("bucket", "a"), "bucket").where("node <> a").select("a", F.col("node").alias("b")).distinct())
+    met = written(stars.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     sketched = written(nodes.join(met, "node", "left_semi").select("node", "n_shingles", "sketch"))
     side = lambda end: sketched.select(F.col("node").alias(end), F.col("n_shingles").alias(f"n_{end}"), F.col("sketch").alias(f"sketch_{end}"))
     likely = written(_estimated(stars.join(side("a"), "a").join(side("b"), "b"), percent))
@@ -283,7 +293,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     holds = lambda end: sets.select(F.col("node").alias(end), F.col("members").alias(f"members_{end}"))
     links = written(_confirmed(likely.join(holds("a"), "a").join(holds("b"), "b"), percent))
     labels = written(components(links))
-    more = written(_swept(groups, labels, sketched, sets, percent))
+    more = written(_swept(_to_sweep(bands, hubs, labels), sketched, sets, percent))
     final = components(links.unionByName(more)).select(F.col("node"), F.col("component"))
     classes = nodes.join(final, "node", "left").select(F.col("digest"), F.coalesce("component", "node").alias("component"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
@@ -303,10 +313,11 @@ def deduplicated(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFr
     """
     found = near_duplicates(docs, shingle, percent).where("doc_id is not null")
     ids = written(found.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")).where("not kept or n > 1"))
-    gone = ids.where("not kept").select(F.col("doc_id").alias("_sw_id"))
-    same = docs["doc_id"].cast("long") == F.col("_sw_id")
+    own = free_name(docs, "id")
+    gone = ids.where("not kept").select(F.col("doc_id").alias(own))
+    same = docs["doc_id"].cast("long") == F.col(own)
     rest = docs.join(gone, same, "left_anti")
-    twice = ids.where("kept").select(F.col("doc_id").alias("_sw_id"))
+    twice = ids.where("kept").select(F.col("doc_id").alias(own))
     if twice.isEmpty():
         return rest
     repeated = rest.join(twice, same, "left_semi").dropDuplicates(["doc_id"])

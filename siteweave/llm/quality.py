@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import small_batches, written
+from ._spark import free_name, small_batches, written
 from ._words import Words, chunks, shingle_hashes, text_buffer
 
 #: Common words by language, fixed values.
@@ -286,9 +286,10 @@ def passing(docs: DataFrame) -> DataFrame:
     language, are joined to them.  Spark broadcasts these below its size
     threshold and else joins by language.
     """
-    refs = written(references(written(_rows_of(docs, None).drop("doc_id", *COUNTS)))).toDF("_sw_lang", "_sw_chars", "_sw_words")
-    m = docs.withColumn("_sw_m", _measure_udf()(F.coalesce(docs["text"].cast("string"), F.lit(""))))
-    own = _measure_columns(*[F.col(f"_sw_m.{k}") for k in ("n_words", "n_repeat_words", "chars", "common")])
-    joined = m.join(refs, _lang(docs) == F.col("_sw_lang"), "left")
-    chars, words = _distances(own["char_shares"], F.col("_sw_chars"), own["word_shares"], F.col("_sw_words"))
-    return joined.where(_passes(own["base_failed"], chars, words)).drop("_sw_m", "_sw_lang", "_sw_chars", "_sw_words")
+    m_, lang, ref_chars, ref_words = (free_name(docs, n) for n in ("measures", "ref_lang", "ref_chars", "ref_words"))
+    refs = written(references(written(_rows_of(docs, None).drop("doc_id", *COUNTS)))).toDF(lang, ref_chars, ref_words)
+    m = docs.withColumn(m_, _measure_udf()(F.coalesce(docs["text"].cast("string"), F.lit(""))))
+    own = _measure_columns(*[F.col(m_)[k] for k in ("n_words", "n_repeat_words", "chars", "common")])
+    joined = m.join(refs, _lang(docs) == F.col(lang), "left")
+    chars, words = _distances(own["char_shares"], F.col(ref_chars), own["word_shares"], F.col(ref_words))
+    return joined.where(_passes(own["base_failed"], chars, words)).drop(m_, lang, ref_chars, ref_words)

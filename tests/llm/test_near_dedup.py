@@ -75,6 +75,52 @@ def test_blocks_find_links_that_stars_miss(spark, monkeypatch):
     assert got == plain(rows, 3, 85)
 
 
+@pytest.mark.parametrize(("k", "percent"), [(3, 85), (5, 80)])
+def test_like_all_pairs_on_the_tables(spark, k, percent):
+    """All pairs of the 1,000 documents of sf0.01 that share a shingle, on their full sets."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    sets = {d: plain_set(t, k) for d, t in rows}
+    ids = sorted(sets)
+    parent = {d: d for d in ids}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            s, t = sets[a], sets[b]
+            if s and t and 100 * min(len(s), len(t)) >= percent * max(len(s), len(t)) and 100 * len(s & t) >= percent * len(s | t):
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in nd.near_duplicates(df, k, percent).collect()}
+    assert got == {d: (len(sets[d]), find(d)) for d in ids}
+
+
+def test_a_family_of_alike_documents_is_linear_work(spark):
+    """A thousand documents with a third of their shingles in common: few nodes meet in more than a star."""
+    rng = random.Random(5)
+    shared = [f"s{i}" for i in range(60)]
+    rows = [(i, " ".join(shared + [f"w{i}x{j}" for j in range(60)])) for i in range(1000)] + [(5000, " ".join(shared * 2))]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    signed = nd._signatures(df, 3).where("digest is not null").withColumnRenamed("doc_id", "node")
+    bucket = [nd.F.xxhash64(nd.F.lit(i), nd.F.substring("sketch", i * 2 * nd.ROWS + 1, 2 * nd.ROWS)) for i in range(nd.BANDS)]
+    bands = signed.select("node", nd.F.posexplode(nd.F.array(*bucket)).alias("band", "bucket"))
+    hubs = bands.groupBy("bucket").agg(nd.F.min("node").alias("a"), nd.F.count(nd.F.lit(1)).alias("n")).where("n > 1")
+    none = spark.createDataFrame([], "node long, component long")
+    assert nd._to_sweep(bands, hubs, none).count() < 30 * len(rows)
+    assert nd.near_duplicates(df, 3, 85).where("not kept").count() == 0
+
+
+def test_names_that_clash(spark):
+    df = spark.createDataFrame([(1, "a b c", 1, 2, 3, 4, 5, 6), (2, "a b c", 1, 2, 3, 4, 5, 6)], "doc_id long, text string, id int, id_ int, node int, kept int, component int, digest int")
+    got = nd.deduplicated(df, 3, 85)
+    assert got.columns == df.columns and [r.doc_id for r in got.collect()] == [1]
+
+
 def test_edge_cases(spark):
     rows = [(7, None, 1), (3, "", 2), (5, " \n\t", 3), (2, "a b", 4), (9, "A  B", 5), (4, "a b c", 6), (None, "a b c", 7), (4, "a b c", 8), (1, "x " * 30000 + "y", 9), (6, "x " * 30000 + "y", 10)]
     df = spark.createDataFrame(rows, "doc_id long, text string, component_id long")
