@@ -1,18 +1,17 @@
 """License scans: exact phrases, and a set-similarity join with templates.
 
-Text blocks are the lines and, as notices are wrapped, all runs of consecutive
-words as long as the template and the share of other words that CONTAINMENT
-leaves room for, wherever lines end.  A template is found in a block if the
-block's word set holds at least ``CONTAINMENT`` percent of the template's word
-set.  The
-join is exact and filtered as set-similarity joins are: template words are
-ordered by their frequency over the whole corpus, rarest first; a block can
-qualify only if it holds a word of the template's prefix (prefix filter), has
-enough words (length filter), and the words left behind the first one shared
-still suffice (positional filter).  Survivors are verified on full sets.
+Text blocks are all runs of consecutive words as long as the template and the
+share of other words that CONTAINMENT leaves room for, wherever lines end.  A
+template is found in a block if the block's word set holds at least
+``CONTAINMENT`` percent of the template's word set.  The join is exact and
+filtered as set-similarity joins are: template words are ordered by their
+frequency over the whole corpus, rarest first; a text can qualify only if it
+holds a word of the template's prefix (prefix filter) and enough of its words
+(length filter); a block begins with a word of the template (positional
+filter).  Survivors are verified on full sets.
 
 Everything runs as DataFrame functions.  The templates are a list in the code
-or a caller's, at most MAX_TEMPLATES of them, so they travel inside the plan.
+or a caller's; they travel inside the plan, TEMPLATES_AT_ONCE in one expression.
 """
 
 from __future__ import annotations
@@ -41,7 +40,8 @@ TEMPLATES = [
     ("reserved", "all rights reserved"),
 ]
 CONTAINMENT = 80
-MAX_TEMPLATES = 1000
+#: Templates in one expression; more of them make more expressions.
+TEMPLATES_AT_ONCE = 200
 
 #: Word characters and others, for texts in any case.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
@@ -81,54 +81,15 @@ def _frequencies(rows: DataFrame, templates: list[tuple[str, str]]) -> dict[str,
     return {r["word"]: r["n"] for r in hits.groupBy("word").agg(F.count(F.lit(1)).alias("n")).collect()}
 
 
-def _index(templates: list[tuple[str, str]], found: dict[str, int]) -> list[tuple]:
-    """(word, place of the word, template) for each word of each prefix."""
-    rows = []
-    for label, template in templates:
-        ordered = sorted(set(template.split()), key=lambda w: (found.get(w, 0), w))
-        needed = _needed(len(ordered))
-        rows += [(w, i, label, ordered, needed) for i, w in enumerate(ordered[: len(ordered) - needed + 1])]
-    return rows
+def _ordered(template: str, found: dict[str, int]) -> list[str]:
+    """The template's word set, rarest first."""
+    return sorted(set(template.split()), key=lambda w: (found.get(w, 0), w))
 
 
-def _contained(lines: Column, index: list[tuple]) -> Column:
-    """Label and containment of every line and template that qualify."""
-    entry = F.array(
-        *[
-            F.struct(
-                F.lit(w).alias("word"),
-                F.lit(i).alias("place"),
-                F.lit(label).alias("label"),
-                _strings(words).alias("words"),
-                F.lit(needed).alias("needed"),
-            )
-            for w, i, label, words, needed in index
-        ]
-    )
-    prefix = _strings(sorted({x[0] for x in index}))
-
-    def block(line: Column) -> Column:
-        held = F.array_distinct(_words(F.translate(line, _UPPER, _LOWER)))
-        matched = F.filter(
-            entry,
-            lambda e: F.array_contains(held, e["word"])
-            & (F.size(held) >= e["needed"])
-            & (F.size(e["words"]) - e["place"] >= e["needed"]),
-        )
-        shares = F.transform(
-            matched,
-            lambda e: F.struct(
-                e["label"].alias("label"),
-                F.size(F.array_intersect(e["words"], held)).alias("shared"),
-                F.size(e["words"]).alias("size"),
-                e["needed"].alias("needed"),
-            ),
-        )
-        kept = F.filter(shares, lambda x: x["shared"] >= x["needed"])
-        return F.transform(kept, lambda x: F.struct(x["label"].alias("label"), (x["shared"] / x["size"]).alias("share")))
-
-    near = F.filter(lines, lambda line: F.arrays_overlap(_words(F.lower(line)), prefix))
-    return F.flatten(F.transform(near, block))
+def _prefix(template: str, found: dict[str, int]) -> list[str]:
+    """The rarest words, of which a block that qualifies holds one."""
+    words = _ordered(template, found)
+    return words[: len(words) - _needed(len(words)) + 1]
 
 
 def _in_runs(text: Column, templates: list[tuple[str, str]], found: dict[str, int]) -> Column:
@@ -138,12 +99,12 @@ def _in_runs(text: Column, templates: list[tuple[str, str]], found: dict[str, in
             F.struct(
                 F.lit(label).alias("label"),
                 _strings(words).alias("words"),
-                _strings(words[: len(words) - _needed(len(words)) + 1]).alias("prefix"),
+                _strings(_prefix(template, found)).alias("prefix"),
                 F.lit(_needed(len(words))).alias("needed"),
                 F.lit(-(-100 * len(template.split()) // CONTAINMENT)).alias("length"),
             )
             for label, template in templates
-            for words in [sorted(set(template.split()), key=lambda w: (found.get(w, 0), w))]
+            for words in [_ordered(template, found)]
         ]
     )
 
@@ -181,12 +142,9 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, phrase
     """
     templates = TEMPLATES if templates is None else templates
     phrases = PHRASES if phrases is None else phrases
-    if len(templates) > MAX_TEMPLATES:
-        raise ValueError(f"more than {MAX_TEMPLATES} templates")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     found = _frequencies(rows, templates)
-    index = _index(templates, found)
-    wanted = sorted({x[0] for x in index} | {p.split()[0] for p, _ in phrases})
+    wanted = sorted({w for _, t in templates for w in _prefix(t, found)} | {p.split()[0] for p, _ in phrases})
     rows = rows.withColumn("words", _words(F.lower("text")))
     rows = rows.select(
         "doc_id", "text", F.size("words").cast("long").alias("n_words"), F.arrays_overlap("words", _strings(wanted)).alias("maybe")
@@ -202,11 +160,10 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, phrase
         rows = rows.withColumn(f"f{i}", F.when(there, first.cast("long")).otherwise(none))
         rows = rows.withColumn(f"l{i}", F.when(there, last.cast("long")).otherwise(none))
     nothing = F.array().cast("array<struct<label:string,share:double>>")
-    rows = rows.withColumn("blocks", F.when(maybe, _contained(F.split(text, "\n"), index)).otherwise(nothing))
-    if templates:
-        rows = rows.withColumn("runs", F.when(maybe, _in_runs(text, templates, found)).otherwise(nothing))
-        held = lambda r: F.exists("blocks", lambda b: (b["label"] == r["label"]) & (b["share"] >= r["share"]))
-        rows = rows.withColumn("blocks", F.concat("blocks", F.filter("runs", lambda r: ~held(r))))
+    rows = rows.withColumn("blocks", nothing)
+    for at in range(0, len(templates), TEMPLATES_AT_ONCE):
+        part = templates[at : at + TEMPLATES_AT_ONCE]
+        rows = rows.withColumn("blocks", F.concat("blocks", F.when(maybe, _in_runs(text, part, found)).otherwise(nothing)))
     base = F.filter(
         F.array(*[F.when(F.col(f"n{i}") > 0, F.lit(label)) for i, (_, label) in enumerate(phrases)]), lambda x: x.isNotNull()
     )
@@ -227,12 +184,12 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, phrase
 
 
 def oracle() -> str:
-    """DuckDB SQL for the scan: all lines against all templates, no filters."""
+    """DuckDB SQL for the scan: all runs of words of each text against the templates it has enough words of."""
     word, gap = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]", r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
     words = lambda x: f"regexp_extract_all({x}, '{word}+')"
     listed = lambda x: "[" + ", ".join(f"'{w}'" for w in x.split()) + "]"
     phrase_rows = ", ".join(f"('{label}', {listed(p)})" for p, label in PHRASES)
-    template_rows = ", ".join(f"('{label}', list_distinct(string_split('{t}', ' ')))" for label, t in TEMPLATES)
+    template_rows = ", ".join(f"('{label}', list_distinct(string_split('{t}', ' ')), {len(t.split())})" for label, t in TEMPLATES)
     return f"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') AS t FROM documents
@@ -243,14 +200,15 @@ WITH d AS (
   SELECT rid, label, unnest(list_filter(range(0, len(words)), lambda i: words[i + 1 : i + len(phrase)] = phrase)) AS place FROM w, p
 ), base AS (
   SELECT rid, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, list_distinct(list(label)) AS labels FROM places GROUP BY rid
-), tpl(label, words) AS (VALUES {template_rows}
-), lines AS (
-  SELECT rid, unnest(string_split(t, chr(10))) AS line FROM d
-), sets AS (
-  SELECT rid, list_distinct({words('line')}) AS held FROM lines WHERE regexp_matches(line, '{word}')
+), tpl(label, words, size) AS (VALUES {template_rows}
+), near AS (
+  SELECT rid, w.words AS held, label, tpl.words AS own, size FROM w, tpl
+  WHERE 100 * len(list_intersect(tpl.words, list_distinct(w.words))) >= {CONTAINMENT} * len(tpl.words)
+), runs AS (
+  SELECT rid, label, own, held[i : i + cast(ceil(100 * size / {CONTAINMENT}::DOUBLE) AS BIGINT) - 1] AS run FROM (SELECT *, unnest(range(1, len(held) + 1)) AS i FROM near)
 ), found AS (
-  SELECT rid, label, len(list_intersect(tpl.words, held)) / len(tpl.words) AS share FROM sets, tpl
-  WHERE 100 * len(list_intersect(tpl.words, held)) >= {CONTAINMENT} * len(tpl.words)
+  SELECT rid, label, len(list_intersect(own, list_distinct(run))) / len(own) AS share FROM runs
+  WHERE 100 * len(list_intersect(own, list_distinct(run))) >= {CONTAINMENT} * len(own)
 ), more AS (
   SELECT rid, list_distinct(list(label)) AS labels, max(share) AS best FROM found GROUP BY rid
 )

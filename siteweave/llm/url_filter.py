@@ -218,12 +218,14 @@ def labels_by_document(pages: DataFrame, labels: DataFrame) -> DataFrame:
 def oracle() -> str:
     """DuckDB SQL for the filter over pages with labels by document."""
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    pooled, weight = "(anb / nullif(anl, 0))", f"(nl + {PRIOR_WEIGHT}::DOUBLE)"
+    apart = f"coalesce(abs((nb + {PRIOR_WEIGHT}::DOUBLE * {pooled}) / {weight} - {pooled}) > {ALIKE}::DOUBLE * sqrt({pooled} * (1 - {pooled}) / {weight}), FALSE)"
     levels = "".join(
         f"""
-c{k} AS (SELECT host, prefix, shape[{k}] AS segment, sum(n) AS pages FROM p{k - 1} WHERE len(shape) >= {k} GROUP BY ALL),
-m{k} AS (SELECT host, prefix, segment FROM c{k} JOIN (SELECT host, prefix, count(*) AS branches, sum(pages) AS whole FROM c{k} GROUP BY ALL) USING (host, prefix)
-  WHERE branches < {MANY} OR 100 * pages >= {LEAST_PERCENT} * whole),
-p{k} AS (SELECT p.host, shape, n, CASE WHEN len(shape) < {k} THEN p.prefix ELSE p.prefix || '/' || coalesce(m.segment, '*') END AS prefix
+c{k} AS (SELECT host, prefix, shape[{k}] AS segment, sum(n) AS pages, sum(nl) AS nl, sum(nb) AS nb FROM p{k - 1} WHERE len(shape) >= {k} GROUP BY ALL),
+m{k} AS (SELECT host, prefix, segment FROM c{k} JOIN (SELECT host, prefix, count(*) AS branches, sum(pages) AS whole, sum(nl) AS anl, sum(nb) AS anb FROM c{k} GROUP BY ALL) USING (host, prefix)
+  WHERE branches < {MANY} OR 100 * pages >= {LEAST_PERCENT} * whole OR {apart}),
+p{k} AS (SELECT p.host, shape, n, nl, nb, CASE WHEN len(shape) < {k} THEN p.prefix ELSE p.prefix || '/' || coalesce(m.segment, '*') END AS prefix
   FROM p{k - 1} p LEFT JOIN m{k} m ON m.host = p.host AND m.prefix = p.prefix AND m.segment = shape[{k}]),"""
         for k in range(1, LEVELS + 1)
     )
@@ -238,7 +240,7 @@ WITH r AS (SELECT page_id, translate(coalesce(regexp_extract(url, '{_URL}', 1),
 s AS (SELECT *, list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda y: CASE WHEN regexp_matches(y, '{VARIABLE}') THEN '*' ELSE y END) AS shape FROM r),
 lab AS (SELECT page_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM s JOIN labels ON doc_id = try_cast(regexp_extract(path, '/([0-9]{{1,18}})(?:\\.[a-z]+)?/?$', 1) AS BIGINT) GROUP BY page_id),
 t0 AS (SELECT host, shape, count(*) AS n, count(bad) AS nl, coalesce(sum(bad), 0) AS nb FROM s LEFT JOIN lab USING (page_id) GROUP BY host, shape),
-p0 AS (SELECT host, shape, n, '' AS prefix FROM t0),{levels}
+p0 AS (SELECT host, shape, n, nl, nb, '' AS prefix FROM t0),{levels}
 tpl AS (SELECT host, shape, prefix || CASE WHEN len(shape) > {LEVELS} THEN '/**' ELSE '' END AS template FROM p{LEVELS}),
 tt AS (SELECT host, template, regexp_replace(template, '/[^/*]+', '/x', 'g') AS form, sum(nl) AS nl, sum(nb) AS nb FROM t0 JOIN tpl USING (host, shape) GROUP BY ALL),
 pr AS (SELECT coalesce(sum(nb) / nullif(sum(nl), 0), 0) AS prior FROM tt),

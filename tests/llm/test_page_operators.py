@@ -239,13 +239,13 @@ def plain_scan(text):
         places += found
         base |= {label} if found else set()
     labels, best = set(base), 0.0
-    for line in low.split("\n"):
-        held = set(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", line))
-        for label, template in licenses.TEMPLATES:
-            t = set(template.split())
-            if 100 * len(t & held) >= licenses.CONTAINMENT * len(t):
+    for label, template in licenses.TEMPLATES:
+        t, width = set(template.split()), -(-100 * len(template.split()) // licenses.CONTAINMENT)
+        for i in range(len(words)):
+            held = t & set(words[i : i + width])
+            if 100 * len(held) >= licenses.CONTAINMENT * len(t):
                 labels.add(label)
-                best = max(best, len(t & held) / len(t))
+                best = max(best, len(held) / len(t))
     return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), 1.0 if places else best
 
 
@@ -266,8 +266,21 @@ def test_scan_like_brute_force(spark):
         got = (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels)
         assert got == want[:6] and r.score == pytest.approx(want[6]), texts[r.doc_id]
     assert licenses.scan(df.limit(0)).count() == 0
-    with pytest.raises(ValueError):
-        licenses.scan(df, [("x", "y")] * (licenses.MAX_TEMPLATES + 1))
+
+
+def test_scattered_words_and_long_lines(spark):
+    """A line of filler with a template's words far apart is no notice; one very long line with a notice is."""
+    filler = "other words in a line "
+    scattered = (filler * 30).join(dict(licenses.TEMPLATES)["mpl-2"].split())
+    whole = filler * 20_000 + dict(licenses.TEMPLATES)["mpl-2"] + " " + filler * 20_000
+    got = licenses.scan(spark.createDataFrame([(1, scattered), (2, whole), (3, "")], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [(r.labels, r.score) for r in got] == [("", 0.0), ("mpl-2", 1.0), ("", 0.0)]
+
+
+def test_more_templates_than_one_expression_takes(spark, monkeypatch):
+    monkeypatch.setattr(licenses, "TEMPLATES_AT_ONCE", 3)
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(licenses.TEMPLATES)], "doc_id long, text string")
+    assert {r.doc_id: licenses.TEMPLATES[r.doc_id][0] in r.labels.split(",") for r in licenses.scan(df).collect()} == dict.fromkeys(range(len(licenses.TEMPLATES)), True)
 
 
 def test_wrapped_notices(spark):
