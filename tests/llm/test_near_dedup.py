@@ -99,22 +99,6 @@ def test_like_all_pairs_on_the_tables(spark, k, percent):
     assert got == {d: (len(sets[d]), find(d)) for d in ids}
 
 
-def test_a_family_of_alike_documents_is_linear_work(spark):
-    """A thousand documents with a third of their shingles in common: few nodes meet in more than a star."""
-    rng = random.Random(5)
-    shared = [f"s{i}" for i in range(60)]
-    rows = [(i, " ".join(shared + [f"w{i}x{j}" for j in range(60)])) for i in range(1000)] + [(5000, " ".join(shared * 2))]
-    rng.shuffle(rows)
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    signed = nd._signatures(df, 3).where("digest is not null").withColumnRenamed("doc_id", "node")
-    bucket = [nd.F.xxhash64(nd.F.lit(i), nd.F.substring("sketch", i * 2 * nd.ROWS + 1, 2 * nd.ROWS)) for i in range(nd.BANDS)]
-    bands = signed.select("node", nd.F.posexplode(nd.F.array(*bucket)).alias("band", "bucket"))
-    hubs = bands.groupBy("bucket").agg(nd.F.min("node").alias("a"), nd.F.count(nd.F.lit(1)).alias("n")).where("n > 1")
-    none = spark.createDataFrame([], "node long, component long")
-    assert nd._to_sweep(bands, hubs, none).count() < 30 * len(rows)
-    assert nd.near_duplicates(df, 3, 85).where("not kept").count() == 0
-
-
 def test_names_that_clash(spark):
     df = spark.createDataFrame([(1, "a b c", 1, 2, 3, 4, 5, 6), (2, "a b c", 1, 2, 3, 4, 5, 6)], "doc_id long, text string, id int, id_ int, node int, kept int, component int, digest int")
     got = nd.deduplicated(df, 3, 85)
