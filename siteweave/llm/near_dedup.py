@@ -111,13 +111,17 @@ def _signatures(docs: DataFrame, k: int) -> DataFrame:
                 digests.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None)
                 sketches.append(registers(found).astype(">u2").tobytes() if len(found) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(sketches, pa.binary())],
-                ["doc_id", "n_shingles", "digest", "sketch"],
+                [batch.column("doc_id"), batch.column("key"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(sketches, pa.binary())],
+                ["doc_id", "key", "n_shingles", "digest", "sketch"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        run, "doc_id long, n_shingles long, digest binary, sketch binary"
-    )
+    return _texts(docs).mapInArrow(run, "doc_id long, key long, n_shingles long, digest binary, sketch binary")
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, text): the key tells apart the texts of a doc_id that is repeated."""
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text"))
 
 
 def _full_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -258,13 +262,23 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     shingles, sets are equal if their 128-bit digests are.  A pair at the
     threshold escapes all bands with a chance below (1 - 0.8**5)**32 = 3e-6.
     """
+    return _judged(docs, shingle, percent).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _judged(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Rows of ``near_duplicates`` with key of the text, digest and grp, a node of the row's component."""
     small_batches(docs.sparkSession)
     signed = written(_signatures(docs, shingle))
     some = signed.where("digest is not null and doc_id is not null")
-    nodes = written(
+    sets_of = written(
         some.groupBy("digest")
-        .agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
+        .agg(F.min(F.struct("doc_id", "key")).alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
+        .select("digest", F.col("rep.doc_id").alias("least"), F.col("rep.key").alias("key"), "n_shingles", "sketch")
     )
+    # a node is its smallest doc_id; unlike texts that repeat one are told apart by their digests
+    shared = written(sets_of.groupBy("least").agg(F.min("digest").alias("owner"), F.max("digest").alias("other")).where("owner <> other").select("least", "owner"))
+    other = F.when(F.col("digest") != F.col("owner"), F.xxhash64("least", "digest"))
+    nodes = sets_of.join(shared, "least", "left").withColumn("node", F.coalesce(other, "least")).drop("owner")
     width = 2 * ROWS
     bands = nodes.select(
         "node",
@@ -278,19 +292,22 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     sketched = written(nodes.join(met, "node", "left_semi").select("node", "n_shingles", "sketch"))
     side = lambda end: sketched.select(F.col("node").alias(end), F.col("n_shingles").alias(f"n_{end}"), F.col("sketch").alias(f"sketch_{end}"))
     likely = written(_estimated(stars.join(side("a"), "a").join(side("b"), "b"), percent))
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
-    sets = written(_full_sets(texts.join(met, "node", "left_semi"), shingle))
+    wanted = nodes.join(met, "node", "left_semi").select(F.col("least").alias("doc_id"), "key", "node")
+    sets = written(_full_sets(_texts(docs).join(wanted, ["doc_id", "key"]).select("node", "text"), shingle))
     holds = lambda end: sets.select(F.col("node").alias(end), F.col("members").alias(f"members_{end}"))
     links = written(_confirmed(likely.join(holds("a"), "a").join(holds("b"), "b"), percent))
     labels = written(components(links))
     more = written(_swept(groups, labels, sketched, sets, percent))
-    final = components(links.unionByName(more)).select(F.col("node"), F.col("component"))
-    classes = nodes.join(final, "node", "left").select(F.col("digest"), F.coalesce("component", "node").alias("component"))
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    final = written(components(links.unionByName(more)))
+    named = nodes.select("digest", "least", "node").join(final, "node", "left").withColumn("grp", F.coalesce("component", "node"))
+    # the smallest doc_id of a component, as its label may stand for a repeated one
+    least = final.join(nodes.select("node", "least"), "node").groupBy("component").agg(F.min("least").alias("first"))
+    classes = named.join(least, "component", "left").select("digest", "grp", F.coalesce("first", "least").alias("first"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("first", "doc_id"))
     return (
-        signed.select("doc_id", "n_shingles", "digest")
+        signed.select("doc_id", "key", "n_shingles", "digest")
         .join(classes, "digest", "left")
-        .select("doc_id", "n_shingles", component.alias("component_id"))
+        .select("doc_id", "key", "n_shingles", "digest", "grp", component.alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
 
@@ -298,17 +315,22 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
 def deduplicated(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """One row of each group of near copies, all columns as they were.
 
-    The document of the smallest doc_id stays.  Of rows that repeat a doc_id
-    one stays.  Rows without doc_id cannot be told apart and stay.
+    The document of the smallest doc_id stays.  Rows that repeat a doc_id are
+    judged by their own texts: one stays of those that are near copies or have
+    no words.  Rows without doc_id cannot be told apart and stay.
     """
-    found = near_duplicates(docs, shingle, percent).where("doc_id is not null")
+    found = written(_judged(docs, shingle, percent).where("doc_id is not null"))
     ids = written(found.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")).where("not kept or n > 1"))
-    own = free_name(docs, "id")
+    own, key, grp = free_name(docs, "id"), free_name(docs, "key"), free_name(docs, "grp")
     gone = ids.where("not kept").select(F.col("doc_id").alias(own))
     same = docs["doc_id"].cast("long") == F.col(own)
     rest = docs.join(gone, same, "left_anti")
-    twice = ids.where("kept").select(F.col("doc_id").alias(own))
+    twice = ids.where("kept and n > 1")
     if twice.isEmpty():
         return rest
-    repeated = rest.join(twice, same, "left_semi").dropDuplicates(["doc_id"])
-    return rest.join(twice, same, "left_anti").unionByName(repeated)
+    texts = found.where("kept").join(twice.select("doc_id"), "doc_id", "left_semi")
+    texts = texts.select(F.col("doc_id").alias(own), F.col("key").alias(key), F.col("grp").alias(grp)).distinct()
+    keyed = F.xxhash64(docs["text"].cast("string")) == F.col(key)
+    repeated = rest.join(texts, same & keyed).dropDuplicates(["doc_id", grp]).select(*[docs[c] for c in docs.columns])
+    several = twice.select(F.col("doc_id").alias(own))
+    return rest.join(several, same, "left_anti").unionByName(repeated)

@@ -115,6 +115,18 @@ def test_edge_cases(spark):
     assert sorted(r.doc_id if r.doc_id is not None else -1 for r in kept.collect()) == [-1, 1, 2, 3, 4, 5, 7]
 
 
+def test_rows_that_repeat_an_id_are_judged_by_their_own_texts(spark):
+    """Texts of one doc_id: one alone, one a copy of another document, two alike, two of which share their smallest id."""
+    alone, copied, alike = [" ".join(f"{c}{i}" for i in range(40)) for c in "abc"]
+    rows = [(5, alone), (5, copied), (5, alike), (5, alike + " x"), (2, copied), (7, alike), (5, None), (5, " "), (9, alone)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in nd.near_duplicates(df, 3, 85).collect())
+    same = [(2, 38, 2, True), (5, 0, 5, True), (5, 0, 5, True), (5, 38, 2, False), (5, 38, 5, True), (5, 38, 5, True), (5, 39, 5, True), (7, 38, 5, False), (9, 38, 5, False)]
+    assert got == same
+    kept = sorted((r.doc_id, (r.text or "").strip().removesuffix(" x")) for r in nd.deduplicated(df, 3, 85).collect())
+    assert kept == sorted([(2, copied), (5, ""), (5, alone), (5, alike)])
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert nd.near_duplicates(df).collect() == []
