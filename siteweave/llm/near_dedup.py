@@ -292,7 +292,8 @@ def _judged(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     sketched = written(nodes.join(met, "node", "left_semi").select("node", "n_shingles", "sketch"))
     side = lambda end: sketched.select(F.col("node").alias(end), F.col("n_shingles").alias(f"n_{end}"), F.col("sketch").alias(f"sketch_{end}"))
     likely = written(_estimated(stars.join(side("a"), "a").join(side("b"), "b"), percent))
-    wanted = nodes.join(met, "node", "left_semi").select(F.col("least").alias("doc_id"), "key", "node")
+    # written, so that Spark knows its size and shuffles the texts only where it is large
+    wanted = written(nodes.join(met, "node", "left_semi").select(F.col("least").alias("doc_id"), "key", "node"))
     sets = written(_full_sets(_texts(docs).join(wanted, ["doc_id", "key"]).select("node", "text"), shingle))
     holds = lambda end: sets.select(F.col("node").alias(end), F.col("members").alias(f"members_{end}"))
     links = written(_confirmed(likely.join(holds("a"), "a").join(holds("b"), "b"), percent))
@@ -302,7 +303,8 @@ def _judged(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     named = nodes.select("digest", "least", "node").join(final, "node", "left").withColumn("grp", F.coalesce("component", "node"))
     # the smallest doc_id of a component, as its label may stand for a repeated one
     least = final.join(nodes.select("node", "least"), "node").groupBy("component").agg(F.min("least").alias("first"))
-    classes = named.join(least, "component", "left").select("digest", "grp", F.coalesce("first", "least").alias("first"))
+    unlike = written(least.where("first <> component"))
+    classes = named.join(unlike, "component", "left").select("digest", "grp", F.coalesce("first", "component", "least").alias("first"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("first", "doc_id"))
     return (
         signed.select("doc_id", "key", "n_shingles", "digest")
