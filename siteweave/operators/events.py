@@ -109,19 +109,19 @@ def fallback_candidates(seeds: DataFrame) -> DataFrame:
     return seeds.select(F.col("url").alias("seed"), F.posexplode(requests.fallback_urls(F.col("url"))).alias("pos", "url"))
 
 
-def bfs_baseline(found: DataFrame, pages: DataFrame) -> DataFrame:
+def bfs_baseline(fetches: DataFrame) -> DataFrame:
     """Cost of a plain breadth-first crawl: (site, requests, failed, blocked, bytes, templates).
 
-    ``found`` has site and url of the pages it took; ``pages`` url, status and
-    html.  A page that did not answer 200 gives no bytes; 403, 429 and 503
-    count as blocked.
+    ``fetches`` has site, url, status and html, a row for each request; a URL may
+    be asked for more than once, and each time counts by its own answer.  A
+    page that did not answer 200 gives no bytes, one without answer has a null
+    status; 403, 429 and 503 count as blocked.
     """
-    joined = found.select("site", "url").join(pages.select("url", "status", "html"), "url", "left")
     good = F.coalesce(F.col("status") == 200, F.lit(False))
-    return joined.groupBy("site").agg(
+    return fetches.groupBy("site").agg(
         F.count(F.lit(1)).alias("requests"),
         F.count_if(~good).alias("failed"),
         F.count_if(F.col("status").isin(403, 429, 503)).alias("blocked"),
         F.coalesce(F.sum(F.when(good, F.octet_length("html"))), F.lit(0)).alias("bytes"),
-        F.count_distinct(urls.template_signal(F.col("url"))).alias("templates"),
+        F.count_distinct(urls.template_signal(F.coalesce("url", F.lit("")))).alias("templates"),
     )

@@ -93,3 +93,9 @@ def test_scratch_tables_can_be_cleared(spark):
     assert fs.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs)
     scratch.clear(spark)
     assert not fs.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs)
+
+
+def test_baseline_counts_every_request(spark):
+    rows = [("h", "https://h/a", 200, "xx"), ("h", "https://h/a", 503, "xxx"), ("h", "https://h/a", None, None), ("h", None, 404, "x"), ("h", "https://h/b", 200, None), (None, None, 200, "é")]
+    got = events.bfs_baseline(spark.createDataFrame(rows, "site string, url string, status int, html string"))
+    assert {tuple(r) for r in got.collect()} == {("h", 5, 3, 1, 2, 3), (None, 1, 0, 0, 2, 1)}

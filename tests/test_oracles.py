@@ -45,3 +45,14 @@ def test_query(spark, duck, name):
         assert rows(got) == rows(want)
     else:
         assert len(got.columns) and len(got)
+
+
+@pytest.mark.parametrize("name", ["bfs_baseline"])
+def test_repeated_urls(spark, tmp_path, name):
+    """Larger tables have pages with the same URL, which the smallest have not."""
+    con = duckdb.connect()
+    con.sql("CREATE TABLE pages AS SELECT i AS page_id, 'https://h' || (i % 2) || '.example/a/' || (i % 5) || '?n=1' AS url, repeat('x', i::INT) AS html FROM range(45) r(i)")
+    con.sql(f"COPY pages TO '{tmp_path}/pages.parquet'")
+    got, want = QUERIES[name](spark, str(tmp_path)).toPandas(), con.sql(ORACLES[name]).df()
+    assert sorted(got.columns) == sorted(want.columns)
+    assert rows(got) == rows(want)
