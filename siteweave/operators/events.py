@@ -87,26 +87,28 @@ def cookie_choice(handles: DataFrame, looked_at: int = 20) -> DataFrame:
     return good.groupBy("page").agg(F.min(F.struct("tier", "seq")).alias("c")).select("page", "c.tier", "c.seq")
 
 
-def public_fallback(candidates: DataFrame) -> DataFrame:
+def public_fallback(candidates: DataFrame, scan: tuple[str, ...] = ("seed",)) -> DataFrame:
     """(seed, url, kind) of the page to use where a seed needs a login.
 
     ``candidates`` has seed, pos, url and html of fetched fallback pages.  The
     first with more than 40 characters and no login wall, else the last with
-    more than 40, else none.
+    more than 40, else none.  ``scan`` names the columns that tell one scan from
+    another, and the result has them in place of seed; seeds that are scanned
+    more than once need an id besides.
     """
     rows = candidates.withColumn("long", F.char_length(F.coalesce("html", F.lit(""))) > 40)
     rows = rows.withColumn("open", F.col("long") & (html.login_wall(F.col("html"), F.col("url")) == "none"))
-    best = rows.groupBy("seed").agg(F.min(F.when(F.col("open"), F.struct("pos", "url"))).alias("first"), F.max(F.when(F.col("long"), F.struct("pos", "url"))).alias("last"))
+    best = rows.groupBy(*scan).agg(F.min(F.when(F.col("open"), F.struct("pos", "url"))).alias("first"), F.max(F.when(F.col("long"), F.struct("pos", "url"))).alias("last"))
     return best.select(
-        "seed",
+        *scan,
         F.coalesce("first.url", "last.url").alias("url"),
         F.when(F.col("first").isNotNull(), "public").when(F.col("last").isNotNull(), "partial").otherwise("none").alias("kind"),
     )
 
 
 def fallback_candidates(seeds: DataFrame) -> DataFrame:
-    """(seed, pos, url) of the public pages to try for each seed."""
-    return seeds.select(F.col("url").alias("seed"), F.posexplode(requests.fallback_urls(F.col("url"))).alias("pos", "url"))
+    """(seed, pos, url) of the public pages to try for each seed, with the other columns of ``seeds``."""
+    return seeds.select(*[c for c in seeds.columns if c != "url"], F.col("url").alias("seed"), F.posexplode(requests.fallback_urls(F.col("url"))).alias("pos", "url"))
 
 
 def bfs_baseline(fetches: DataFrame) -> DataFrame:

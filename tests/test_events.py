@@ -99,3 +99,13 @@ def test_baseline_counts_every_request(spark):
     rows = [("h", "https://h/a", 200, "xx"), ("h", "https://h/a", 503, "xxx"), ("h", "https://h/a", None, None), ("h", None, 404, "x"), ("h", "https://h/b", 200, None), (None, None, 200, "é")]
     got = events.bfs_baseline(spark.createDataFrame(rows, "site string, url string, status int, html string"))
     assert {tuple(r) for r in got.collect()} == {("h", 5, 3, 1, 2, 3), (None, 1, 0, 0, 2, 1)}
+
+
+def test_fallback_of_every_scan(spark):
+    """A seed that is scanned twice has two results; without an id its tries are one scan."""
+    seeds = spark.createDataFrame([(1, "https://h/a"), (2, "https://h/a")], "id long, url string")
+    page = F.when(F.col("id") == 1, F.lit("<main>" + "x" * 41 + "</main>")).when(F.col("pos") == 1, F.lit("<input type=password>" + "x" * 41))
+    tries = events.fallback_candidates(seeds).withColumn("html", page)
+    got = {tuple(r) for r in events.public_fallback(tries, ("id", "seed")).collect()}
+    assert got == {(1, "https://h/a", "https://h/about", "public"), (2, "https://h/a", "https://h/explore", "partial")}
+    assert [tuple(r) for r in events.public_fallback(tries).collect()] == [("https://h/a", "https://h/about", "public")]

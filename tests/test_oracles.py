@@ -47,7 +47,7 @@ def test_query(spark, duck, name):
         assert len(got.columns) and len(got)
 
 
-@pytest.mark.parametrize("name", ["bfs_baseline"])
+@pytest.mark.parametrize("name", ["bfs_baseline", "public_fallback"])
 def test_repeated_urls(spark, tmp_path, name):
     """Larger tables have pages with the same URL, which the smallest have not."""
     con = duckdb.connect()
